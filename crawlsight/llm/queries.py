@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlsight.llm import line_dedup, mixing, packing, simhash
+from crawlsight.llm import fingerprint, line_dedup, mixing, packing, quality, simhash
 from crawlsight.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -34,7 +42,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_harmonic_packing": op3_harmonic_packing,
+    "op4_weighted_sampling": op4_weighted_sampling,
     "op5_source_mixing": op5_source_mixing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
