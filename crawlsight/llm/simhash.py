@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from crawlsight.llm.common import map_arrow, text_or_empty, written
 from crawlsight.llm.components import components
+from crawlsight.llm.line_dedup import LAST_ID
 
 SHINGLE = 3
 SEED = 42
@@ -48,13 +49,18 @@ def fingerprint(text: str, size: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprint_partition(batches, size: int, seed: int):
     for batch in batches:
-        prints = [fingerprint(t, size, seed) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        prints = [fingerprint(t, size, seed) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64())], names=["doc_id", "tk", "fp"])
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, tk, text): tk tells rows of one doc_id apart; a null text counts as empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("tk"), "text")
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of each row of docs (doc_id, text); a null text counts as empty."""
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), fingerprint_partition, "doc_id long, fp long", size, seed)
+    """(doc_id, tk, fp) of each row of docs (doc_id, text)."""
+    return map_arrow(identified(docs), fingerprint_partition, "doc_id long, tk long, fp long", size, seed)
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -65,21 +71,41 @@ def links(prints: DataFrame) -> DataFrame:
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
 
 
+def classified(docs: DataFrame, size: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """prints (doc_id, tk, fp) of all rows, and for each distinct fp the root that stands for its component."""
+    prints = written(fingerprints(docs, size, seed), "simhash-prints")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(links(distinct.select("fp")), "simhash").withColumnRenamed("node", "fp")
+    return prints, written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-rooted")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable over links of 2 bits at most) for each row of docs (doc_id, text).
 
     A null or blank text has the fingerprint zero, linked like any other. A row with a null doc_id keeps it and is
-    linked; it never names a component unless all of its rows are null. Repeated rows are returned as often as they
-    come. Other columns are ignored; an empty table gives no rows.
+    linked; component_id is null only where a component has no other. Repeated rows are returned as often as they come.
+    Other columns are ignored; an empty table gives no rows.
     """
-    prints = written(fingerprints(docs, size, seed), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")), "simhash").withColumnRenamed("node", "fp")
-    rooted = written(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-rooted")
+    prints, rooted = classified(docs, size, seed)
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     classes = written(rooted.join(least, "root").select("fp", "component_id"), "simhash-classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of docs, with its columns, for each component: that of the least doc_id, a null after all others.
+
+    Of several texts of that doc_id one is taken by a hash, of repeated rows any. Cases are those of near_duplicates().
+    """
+    prints, rooted = classified(docs, size, seed)
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("did"), "tk")
+    first = prints.select("fp", place.alias("place")).groupBy("fp").agg(F.min("place").alias("place"))
+    kept = rooted.join(first, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    kept = written(kept.select("place.did", "place.tk"), "simhash-kept")
+    did, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(did.alias("did"), F.xxhash64(text_or_empty()).alias("tk"), row.alias("row"))
+    return rows.join(kept, ["did", "tk"], "left_semi").groupBy("did", "tk").agg(F.first("row").alias("row")).select("row.*")
+
+
 def hex_digits(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
