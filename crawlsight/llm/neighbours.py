@@ -4,8 +4,8 @@ Vectors are scaled by the greatest norm M and given one more component, sqrt(1 -
 inner products then fall as distances grow. A block of vectors is projected on random directions, each projection sorted
 by itself. A query opens a window round its own projection in each sorted array, and widens all windows step by step
 (virtual rehashing: no wider index is kept). A vector that is in at least THRESHOLD of the windows is verified by its inner
-product. At a radius R the half-width is R, so that a vector within R is in a window with the probability 0.68, and in
-fewer than THRESHOLD windows with a probability under 0.01; a query ends when the last of its k best lies within R.
+product. At a radius R the half-width is R: a vector at the distance R is in a window with the probability 0.68, a nearer one
+with a higher one. A query ends when the last of its k best lies within R, so most of them are nearer than that.
 """
 
 from __future__ import annotations
@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 from crawlsight.llm.common import on_workers
 
 K = 20
-PROJECTIONS = 64
-#: Of the windows: below it falls a binomial of PROJECTIONS tries at 0.6827 with a probability under 0.01.
-THRESHOLD = 35
-GROWTH = 1.2
+PROJECTIONS = 24
+#: Of the windows. A vector at the very edge of the last radius is missed with a probability of 0.05, others with less.
+THRESHOLD = 13
+RADII = 0.5 * 1.2 ** np.arange(8)
 SEED = 23
 #: Vectors in a block of the index, and queries in a block.
 BLOCK = 32_768
 QUERIES = 8_192
+#: Queries whose windows are looked up together.
+TOGETHER = 256
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -48,50 +50,59 @@ class Block:
         more = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))
         self.axes = np.random.default_rng(seed).normal(size=(self.x.shape[1] + 1, projections))
         values = np.hstack([scaled, more[:, None]]) @ self.axes
-        self.order = np.ascontiguousarray(values.argsort(axis=0).T.astype(np.int32))
+        self.order = np.ascontiguousarray(values.argsort(axis=0).T)
         self.values = np.ascontiguousarray(np.take_along_axis(values.T, self.order, axis=1))
+        self.quick = self.x.astype(np.float32)
+        self.buffer = np.empty(self.order.size, dtype=self.order.dtype)
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
+    def windows(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both ends of each query's windows: (query, radius, projection); the first are empty, at the query's own place."""
+        centres = queries / np.linalg.norm(queries, axis=1, keepdims=True) @ self.axes[:-1]
+        steps = np.append(0.0, RADII)
+        ends = [[np.searchsorted(v, c[:, None] + side * steps) for v, c in zip(self.values, centres.T, strict=True)] for side in (-1, 1)]
+        return tuple(np.stack(e, axis=2) for e in ends)
+
+    def search(self, query_id: int, q: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> list[tuple[int, float]]:
         """(vec_id, score) of the k best found, the query's own id left out; all of them if there are fewer."""
         n, m = len(self.x), len(self.order)
-        unit = q / np.linalg.norm(q)
-        centre = unit @ self.axes[:-1]
-        threshold = min(THRESHOLD, m)
-        low = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
-        high = low.copy()
+        quick = (q / np.linalg.norm(q)).astype(np.float32)
         counts = np.zeros(n, dtype=np.int64)
         seen = np.zeros(n, dtype=bool)
-        scores = np.full(n, -np.inf)
-        radius = 0.5
-        while True:
-            parts = []
-            for j in range(m):
-                lo, hi = np.searchsorted(self.values[j], (centre[j] - radius, centre[j] + radius))
-                parts += [self.order[j, lo : low[j]], self.order[j, high[j] : hi]]
-                low[j], high[j] = min(lo, low[j]), max(hi, high[j])
-            counts += np.bincount(np.concatenate(parts), minlength=n)
-            # Beyond the distance of opposite unit vectors there is nothing further to open.
-            new = np.flatnonzero(~seen & ((counts >= threshold) | (radius >= 2)))
-            scores[new] = (self.x[new] * q).sum(axis=1)
+        scores = np.full(n, -np.inf, dtype=np.float32)
+        nearest = np.zeros(0, dtype=np.float32)  # the k + 1 best scores: the query's own row may be the only one of its vector
+        for step, radius in enumerate(RADII):
+            # What the windows take in beyond those of the step before, on either side.
+            parts = [self.order[j, a:b] for j, a, b in zip(range(m), low[step + 1], low[step], strict=True)]
+            parts += [self.order[j, a:b] for j, a, b in zip(range(m), high[step], high[step + 1], strict=True)]
+            opened = np.concatenate(parts, out=self.buffer[: sum(map(len, parts))])
+            counts += np.bincount(opened, minlength=n)
+            new = np.flatnonzero(~seen & (counts >= min(THRESHOLD, m)))
+            scores[new] = self.quick[new] @ quick
             seen[new] = True
-            near = self.best(query_id, scores, seen, k)
-            if radius >= 2:
-                return near
-            if len(near) == k:
-                cosine = near[-1][1] / (self.norm * np.linalg.norm(q))
-                if math.sqrt(max(0.0, 2 - 2 * cosine)) <= radius:
-                    return near
-            radius *= GROWTH
-
-    def best(self, query_id: int, scores: np.ndarray, seen: np.ndarray, k: int) -> list[tuple[int, float]]:
+            nearest = np.append(nearest, scores[new])
+            if len(nearest) > k:
+                nearest = np.partition(nearest, len(nearest) - k - 1)[len(nearest) - k - 1 :]
+                if math.sqrt(max(0.0, 2 - 2 * float(nearest.min()) / self.norm)) <= radius:
+                    return self.best(query_id, q, scores, seen, k)
+        # Beyond the distance of opposite unit vectors there is nothing further to open: the rest is verified.
+        new = np.flatnonzero(~seen)
+        scores[new] = self.quick[new] @ quick
+        return self.best(query_id, q, scores, np.ones(n, dtype=bool), k)
+
+    def best(self, query_id: int, q: np.ndarray, scores: np.ndarray, seen: np.ndarray, k: int) -> list[tuple[int, float]]:
+        """The k best of the vectors seen, by their inner products in double precision.
+
+        scores are those in single precision; vectors that these put within their error of the k-th best are all kept.
+        """
         at = np.flatnonzero(seen)
-        if len(at) > k + 1:  # k + 1 vectors, as the query's own row may be the only one of its vector
+        if len(at) > k + 1:
             edge = np.partition(scores[at], len(at) - k - 1)[len(at) - k - 1]
-            at = at[scores[at] >= edge]
+            at = at[scores[at] >= edge - 1e-4 * self.norm]
+        exact = (self.x[at] * q).sum(axis=1)
         out = []
-        for i in at:
+        for i, score in zip(at, exact, strict=True):
             members = self.ids[self.first[i] : self.ends[i]][: k + 1]  # sorted; of equal scores the least ids
-            out += [(int(v), float(scores[i])) for v in members if v != query_id]
+            out += [(int(v), float(score)) for v in members if v != query_id]
         return sorted(out, key=lambda p: (-p[1], p[0]))[:k]
 
 
@@ -99,8 +110,11 @@ def search_blocks(key, vectors: pd.DataFrame, queries: pd.DataFrame, norm: float
     found: list[tuple] = []
     if len(vectors) and len(queries):
         block = Block(vectors["vec_id"].to_numpy(), np.array(vectors["embedding"].tolist(), dtype=np.float64), norm)
-        for query_id, q in zip(queries["vec_id"], queries["embedding"], strict=True):
-            found += [(query_id, v, s) for v, s in block.search(query_id, np.asarray(q, dtype=np.float64), k)]
+        ids, asked = queries["vec_id"].tolist(), np.array(queries["embedding"].tolist(), dtype=np.float64)
+        for at in range(0, len(ids), TOGETHER):
+            low, high = block.windows(asked[at : at + TOGETHER])
+            for i, query_id in enumerate(ids[at : at + TOGETHER]):
+                found += [(query_id, v, s) for v, s in block.search(query_id, asked[at + i], low[i], high[i], k)]
     return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
