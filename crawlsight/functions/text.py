@@ -13,6 +13,16 @@ HTML_MARKS = ("<!doctype html", "<html", "<head", "<body")
 SNIFFED = 2048
 
 
+_TOKEN = r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+"
+#: A media type and its parameters; one ; too many at the end is ignored.
+_MEDIA = rf'''^\s*{_TOKEN}(?:/{_TOKEN})?\s*(?:;\s*{_TOKEN}\s*=\s*(?:{_TOKEN}|"(?:[^"\\]|\\.)*")\s*)*;?\s*$'''
+
+
+def readable(body: Column) -> Column:
+    """Bytes as text; those that aren't UTF-8 as replacement characters."""
+    return F.make_valid_utf8(body.cast("string"))
+
+
 def clean(v: Column) -> Column:
     """Runs of blanks, controls and no-break spaces as one space, none at the ends."""
     return F.trim(F.regexp_replace(v, r"[\x00-\x20\x7F\u00A0]+", " "))
@@ -20,8 +30,7 @@ def clean(v: Column) -> Column:
 
 def media_type(content_type: Column) -> Column:
     """Type of a Content-Type header in lower case; null if it can't be read."""
-    head = F.lower(F.trim(F.split(content_type, ";")[0]))
-    return F.when(head.rlike(r"^[!#$%&'*+\-.^_`|~0-9a-z]+(/[!#$%&'*+\-.^_`|~0-9a-z]+)?$"), head)
+    return F.when(content_type.rlike(_MEDIA), F.lower(F.trim(F.split(content_type, ";")[0])))
 
 
 def is_html(content_type: Column, body: Column) -> Column:
@@ -81,7 +90,7 @@ def shown_number(v: Column) -> Column:
 
 def shortened(v: Column, most: int) -> Column:
     """At most so many bytes and ..., cut at a character."""
-    cut = F.decode(F.substring(F.encode(v, "UTF-8"), 1, most), "UTF-8")
+    cut = readable(F.substring(F.encode(v, "UTF-8"), 1, most))
     return F.when(F.octet_length(v) <= most, v).otherwise(F.concat(F.regexp_replace(cut, "�+$", ""), F.lit("...")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ INDEX_FILE = r"(?i)/index\.(?:html?|php|aspx?)$"
 FILE_EXTENSION = r"\.[A-Za-z0-9]{1,5}$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it; keeps generated code small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bytes_of(v: Column) -> Column:
     """Two hexadecimal digits for each UTF-8 byte."""
     return F.regexp_extract_all(F.hex(F.encode(v, "UTF-8")), F.lit("(..)"), F.lit(1))
@@ -75,19 +82,23 @@ def unescaped(path: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Scheme and host in lower case, no default port, no fragment, / for an empty path; v itself if it can't be read."""
-    e = encode(F.trim(v))
-    scheme = F.lower(F.regexp_extract(e, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    authority = F.regexp_extract(e, _AUTHORITY, 1)
-    user = F.regexp_extract(authority, "^([^@]*@)", 1)
-    port = F.regexp_extract(authority, r":([0-9]*)$", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, "^[^@]*@", ""), r":[0-9]*$", ""))
-    shown = (port != "") & ~((scheme == "http") & (port == "80")) & ~((scheme == "https") & (port == "443"))
-    rest = F.regexp_replace(F.regexp_replace(e, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), "#.*$", "")
-    rest = F.when(rest.rlike(r"^(\?|$)"), F.concat(F.lit("/"), rest)).otherwise(rest)
-    whole = F.concat(scheme, F.lit("://"), user, host, F.when(shown, F.concat(F.lit(":"), port)).otherwise(""), rest)
-    other = F.regexp_replace(e, "#.*$", "")
-    other = F.when(other.rlike(r"^(\?|$)"), F.concat(F.lit("/"), other)).otherwise(other)
-    return F.when(~e.rlike(_PARSABLE), v).when(e.rlike(_AUTHORITY), whole).otherwise(other)
+
+    def of(e: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(e, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), "#.*$", "")
+        rest = let(rest, lambda r: F.when(r.rlike(r"^(\?|$)"), F.concat(F.lit("/"), r)).otherwise(r))
+        other = let(F.regexp_replace(e, "#.*$", ""), lambda r: F.when(r.rlike(r"^(\?|$)"), F.concat(F.lit("/"), r)).otherwise(r))
+        head = F.regexp_extract(e, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+        return F.when(~e.rlike(_PARSABLE), None).when(head != "", F.concat(_normal_head(head), rest)).otherwise(other)
+
+    return F.coalesce(let(encode(F.trim(v)), of), v)
+
+
+def _normal_head(head: Column) -> Column:
+    """scheme://user@host:port with the host in lower case and no default port."""
+    lower = F.lower(F.regexp_replace(head, "://[^@]*@", "://"))
+    plain = F.regexp_replace(lower, "^(http://.*):80$|^(https://.*):443$|^([^:]*://.*):$", "$1$2$3")
+    user = F.regexp_extract(head, "://([^@]*@)", 1)
+    return F.when(user == "", plain).otherwise(F.concat(F.regexp_extract(plain, "^[^:]*://", 0), user, F.regexp_replace(plain, "^[^:]*://", "")))
 
 
 def same(a: Column, b: Column) -> Column:
@@ -128,22 +139,23 @@ def without_port(host: Column) -> Column:
 
 def page_key(v: Column, fold: bool = False) -> Column:
     """What variants of one page share: host without port and www., decoded path without index file and trailing /, and query."""
-    path = split_path(v)
-    path = F.regexp_replace(unescaped(F.when(path == "", "/").otherwise(path)), INDEX_FILE, "/")
-    path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
-    path = F.when(path == "", "/").otherwise(path)
+    whole = let(split_path(v), lambda p: F.regexp_replace(unescaped(F.when(p == "", "/").otherwise(p)), INDEX_FILE, "/"))
+    path = let(F.regexp_replace(whole, "/+$", ""), lambda p: F.when(p == "", "/").otherwise(p))
     path = F.lower(path) if fold else path
-    query = split_query(v)
+    query = let(split_query(v), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
     host = F.regexp_replace(without_port(split_host(v)), r"^www\.", "")
-    return F.when(is_split(v), F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))).otherwise(v)
+    return F.when(is_split(v), F.concat(host, path, query)).otherwise(v)
 
 
 def slash_style(v: Column) -> Column:
     """slash or noslash; empty for the home page and for files."""
-    path = split_path(v)
-    last = F.regexp_extract(F.regexp_replace(path, "/+$", ""), "([^/]*)$", 1)
-    none = path.isin("", "/") | last.rlike(FILE_EXTENSION)
-    return F.when(none, "").when(path.endswith("/"), "slash").otherwise("noslash")
+
+    def of(path: Column) -> Column:
+        last = F.regexp_extract(F.regexp_replace(path, "/+$", ""), "([^/]*)$", 1)
+        none = path.isin("", "/") | last.rlike(FILE_EXTENSION)
+        return F.when(none, "").when(path.endswith("/"), "slash").otherwise("noslash")
+
+    return let(split_path(v), of)
 
 
 def parameter_names(query: Column) -> Column:

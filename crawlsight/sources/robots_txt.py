@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlsight.functions import text as texts
 from crawlsight.functions import urls
 
 #: Bytes of a file that are read.
@@ -31,7 +32,7 @@ def token_of(user_agent: str) -> str:
 
 def lines(files: DataFrame) -> DataFrame:
     """(site_id, line_no, key, value) of files (site_id, body): lines that have a colon, without comments."""
-    text = F.decode(F.substring("body", 1, MAX_SIZE), "UTF-8")
+    text = texts.readable(F.substring("body", 1, MAX_SIZE))
     text = F.regexp_replace(text, "^﻿", "")
     rows = files.select("site_id", F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.regexp_replace("line", "(?s)#.*$", "")).where(F.contains("line", F.lit(":")))
