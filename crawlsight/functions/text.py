@@ -15,7 +15,7 @@ SNIFFED = 2048
 
 _TOKEN = r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+"
 #: A media type and its parameters; one ; too many at the end is ignored.
-_MEDIA = rf'''^\s*{_TOKEN}(?:/{_TOKEN})?\s*(?:;\s*{_TOKEN}\s*=\s*(?:{_TOKEN}|"(?:[^"\\]|\\.)*")\s*)*;?\s*$'''
+_MEDIA = rf'''^\s*{_TOKEN}(?:/{_TOKEN})?\s*(?:;\s*{_TOKEN}\s*=\s*(?:{_TOKEN}|"(?:[^"\\]++|\\.)*+")\s*)*+;?\s*$'''
 
 
 def readable(body: Column) -> Column:

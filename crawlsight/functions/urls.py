@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parts of a URL whose other characters are percent-encoded already.
+# Parts of a URL whose other characters are percent-encoded already. Loops are possessive: Java matches these without
+# recursion, so that a URL of any length fits on the stack.
 _ESCAPE = "%[0-9A-Fa-f]{2}"
 _USER = r"(?:[^/?#@\[\]]*@)?"
-_HOST = r"(?:\[[0-9A-Fa-f:.]+\]|(?:[^\[\]:%/?#@]|%[89A-Fa-f][0-9A-Fa-f])*)"
+_HOST = r"(?:\[[0-9A-Fa-f:.]+\]|(?:[^\[\]:%/?#@]++|%[89A-Fa-f][0-9A-Fa-f])*+)"
 _PORT = "(?::[0-9]*)?"
-_PATH = f"(?:[^?#%]|{_ESCAPE})*"
-_REST = rf"(?:\?[^#]*)?(?:#(?:[^%]|{_ESCAPE})*)?"
+_PATH = f"(?:[^?#%]++|{_ESCAPE})*+"
+_REST = rf"(?:\?[^#]*)?(?:#(?:[^%]++|{_ESCAPE})*+)?"
 _ABSOLUTE = rf"^(?i:https?)://{_USER}(?!$|[/?#]){_HOST}{_PORT}(?:/{_PATH})?{_REST}$"
-_PARSABLE = rf"^(?:[A-Za-z][A-Za-z0-9+.\-]*://{_USER}{_HOST}{_PORT}(?:/{_PATH})?|[A-Za-z][A-Za-z0-9+.\-]*:(?!//){_PATH}|//{_USER}{_HOST}{_PORT}(?:/{_PATH})?|(?!//)(?:[^:/?#%]|{_ESCAPE})*(?:/{_PATH})?){_REST}$"
+_PARSABLE = rf"^(?:[A-Za-z][A-Za-z0-9+.\-]*://{_USER}{_HOST}{_PORT}(?:/{_PATH})?|[A-Za-z][A-Za-z0-9+.\-]*:(?!//){_PATH}|//{_USER}{_HOST}{_PORT}(?:/{_PATH})?|(?!//)(?:[^:/?#%]++|{_ESCAPE})*+(?:/{_PATH})?){_REST}$"
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)"
 #: Bytes that stay as they are: printable ASCII without " < > ` { } | \ ^ and blanks.
 _CLEAN = r"""^[!#-;=?-\[\]_a-z~]*$"""

@@ -176,8 +176,8 @@ def read_xml(doc: dict, data: bytes) -> None:
             rest = data[parser.ErrorByteIndex :].lstrip()
             if junk and rest.startswith(b"<") and rest[1:2].isalpha():
                 data, again = rest, True
-            elif not (e.code == expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS]):
-                text = expat.ErrorString(e.code)
+            elif doc["root"] or e.code != expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS]:
+                text = "unexpected EOF" if e.code == expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS] else expat.ErrorString(e.code)
                 before = data[: parser.ErrorByteIndex + 1]
                 loose = re.search(rb"&[^;\s<]*[^;<]?$", before[-64:]) is not None
                 doc["xml_error"] = f"line {e.lineno}: {text}" + _HINT * (loose or "entity" in text)
