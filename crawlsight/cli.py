@@ -13,35 +13,42 @@ from crawlsight.sources.config import Config, ConfigError
 OK, ISSUES, USAGE, FAILED, INTERRUPTED = 0, 1, 2, 3, 130
 
 
+COMMANDS = {
+    "run": "audit the given sites, or all configured ones (also without the word run)",
+    "list": "configured sites",
+    "init": "write an example configuration",
+    "checks": "all codes",
+    "version": "the version",
+}
+
+
 def arguments(argv: list[str]) -> argparse.Namespace:
-    commands = {"run", "list", "init", "checks", "version"}
-    if not argv or argv[0] not in commands and argv[0] not in ("-h", "--help", "help"):
-        argv = ["run", *argv]
-    if argv[0] == "help":
-        argv = ["--help"]
-    parser = argparse.ArgumentParser(prog="crawlsight", description="Audits the sitemaps and listed URLs of web sites.")
-    sub = parser.add_subparsers(dest="command", required=True)
-    run = sub.add_parser("run", help="audit the given sites, or all configured ones")
-    run.add_argument("sites", nargs="*", help="ids or URLs")
-    run.add_argument("--config", help="YAML file")
-    run.add_argument("--responses", help="captured responses (Parquet) instead of fetching")
-    run.add_argument("--capture-to", help="where fetched responses are written; a fresh shared folder by default")
-    run.add_argument("--out", help="folder of the reports")
-    run.add_argument("--format", help="formats, separated by commas")
-    run.add_argument("--fail-on", help="none, notice, warning or error")
-    run.add_argument("--no-crawl", action="store_true", help="robots.txt and sitemaps only")
-    run.add_argument("--max-urls", type=int)
-    run.add_argument("--concurrency", type=int)
-    for name in ("list",):
-        p = sub.add_parser(name, help="configured sites")
-        p.add_argument("--config")
-    init = sub.add_parser("init", help="write an example configuration")
-    init.add_argument("file", nargs="?", default=configs.FILES[0])
-    init.add_argument("--force", action="store_true")
-    checks = sub.add_parser("checks", help="all codes")
-    checks.add_argument("--markdown", action="store_true")
-    sub.add_parser("version")
-    return parser.parse_intermixed_args(argv) if argv[0] not in commands else parser.parse_args(argv)
+    """A command and its arguments; options and sites may stand in any order."""
+    if argv and argv[0] in ("help", "-h", "--help"):
+        print("usage: crawlsight COMMAND ...\n\n" + "\n".join(f"  {name:8} {what}" for name, what in COMMANDS.items()))
+        raise SystemExit(0)
+    command, rest = (argv[0], argv[1:]) if argv and argv[0] in COMMANDS else ("run", argv)
+    parser = argparse.ArgumentParser(prog=f"crawlsight {command}", description=COMMANDS[command])
+    if command in ("run", "list"):
+        parser.add_argument("--config", help="YAML file")
+    if command == "run":
+        parser.add_argument("sites", nargs="*", help="ids or URLs")
+        parser.add_argument("--responses", help="captured responses (Parquet) instead of fetching")
+        parser.add_argument("--capture-to", help="where fetched responses are written; a fresh shared folder by default")
+        parser.add_argument("--out", help="folder of the reports")
+        parser.add_argument("--format", help="formats, separated by commas")
+        parser.add_argument("--fail-on", help="none, notice, warning or error")
+        parser.add_argument("--no-crawl", action="store_true", help="robots.txt and sitemaps only")
+        parser.add_argument("--max-urls", type=int)
+        parser.add_argument("--concurrency", type=int)
+    elif command == "init":
+        parser.add_argument("file", nargs="?", default=configs.FILES[0])
+        parser.add_argument("--force", action="store_true")
+    elif command == "checks":
+        parser.add_argument("--markdown", action="store_true")
+    args = parser.parse_intermixed_args(rest)
+    args.command = command
+    return args
 
 
 def load(path: str | None) -> Config:

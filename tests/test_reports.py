@@ -1,0 +1,133 @@
+"""Report tables and files of the made-up site."""
+
+import csv
+import io
+import json
+import re
+import zipfile
+from datetime import UTC, datetime
+from xml.etree import ElementTree
+
+import pytest
+
+from crawlsight.operators.catalogue import CATALOGUE
+from crawlsight.plans import audit as plan
+from crawlsight.plans import reports, tables
+from crawlsight.sources.config import Config
+from crawlsight.storage import written
+from tests.helpers import BASE, captured, responses, sites
+
+NOW = datetime(2026, 10, 1, 12, tzinfo=UTC)
+
+
+@pytest.fixture(scope="module")
+def run(spark):
+    config = Config()
+    config.sitemap.max_depth = 2
+    run = plan.audit(responses(spark, captured()), sites(spark, BASE), config, NOW)
+    run.urls, run.sites, run.excluded = written(run.urls, "urls"), written(run.sites, "sites"), written(run.excluded, "excluded")
+    return run
+
+
+@pytest.fixture(scope="module")
+def total(run):
+    return run.issues.count()
+
+
+def test_tables(run, total):
+    urls = [r.asDict() for r in tables.url_table(run).collect()]
+    assert tuple(urls[0]) == tables.URLS and len(urls) == 25 and urls[0]["url"] == f"{BASE}/"
+    old = next(u for u in urls if u["url"] == f"{BASE}/old")
+    assert (old["status"], old["final_status"], old["redirect_to"], old["issues"]) == ("301", "200", f"{BASE}/old2", "URL_REDIRECT; URL_REDIRECT_CHAIN")
+    assert old["details"].startswith(f"URL_REDIRECT: 301 -> {BASE}/old2; URL_REDIRECT_CHAIN: 2 hops")
+    maps = [r.asDict() for r in tables.sitemap_table(run).collect()]
+    assert tuple(maps[0]) == tables.SITEMAPS and [m["kind"] for m in maps[:2]] == ["index", "urlset"]
+    assert maps[1]["statuses"] == "200:18 301:2 302:1 404:1" and maps[1]["duplicates_inside"] == "1" and "DUPLICATE_URL:1" in maps[1]["url_issues"]
+    assert next(m for m in maps if m["kind"] == "cycle")["http"] == "-"
+    [site] = [r.asDict() for r in tables.site_table(run).collect()]
+    assert tuple(site) == tables.SITES and (site["urls"], site["2xx"], site["3xx"], site["4xx"], site["robots"]) == ("25", "21", "3", "1", "YES")
+    issues = [r.asDict() for r in tables.issue_table(run).collect()]
+    assert len(issues) == total and issues[0]["scope"] == "site" and issues[-1]["scope"] == "url" and all(i["title"] for i in issues)
+    summary = tables.code_summary(run).collect()
+    assert sum(r.n for r in summary) == total and summary[0].severity == "error" and [r.sev_rank for r in summary] == sorted((r.sev_rank for r in summary), reverse=True)
+
+
+def test_filter(run):
+    assert tables.filter_urls(run, status_in="4xx").count() == 1
+    assert {r.url for r in tables.filter_urls(run, code="NOINDEX").collect()} == {f"{BASE}/noindex", f"{BASE}/hdr-noindex"}
+    assert tables.filter_urls(run, words="NOT FOUND").count() >= 1 and tables.filter_urls(run, site="other").count() == 0
+    assert 0 < tables.filter_urls(run, severity="error").count() < tables.filter_urls(run, severity="notice").count()
+
+
+def test_files(run, total, tmp_path):
+    files, errors = reports.write(run, tmp_path, ["json", "csv", "md", "junit", "xlsx", "html", "bogus"])
+    assert errors == ['bogus: unknown format "bogus"'] and len(files) == 9 and all(f.exists() for f in files) and not list(tmp_path.glob("*.tmp"))
+
+    value = json.loads((tmp_path / "report.json").read_text())
+    [site] = value["sites"]
+    assert value["schema_version"] == 1 and len(site["urls"]) == 25 and site["stats"]["urls"] == 25 and site["stats"]["status"]["200"] == 21
+    assert sum(site["stats"]["codes"].values()) == total == len(site["issues"]) + sum(len(x["issues"]) for x in site["urls"] + site["sitemaps"])
+    old = next(u for u in site["urls"] if u["url"] == f"{BASE}/old")
+    assert [h["status"] for h in old["redirect_chain"]] == [302, 200] and "title" not in old
+
+    with (tmp_path / "urls.csv").open(newline="") as f:
+        lines = list(csv.reader(f))
+    assert lines[0] == list(tables.URLS) and len(lines) == 26
+
+    summary = (tmp_path / "summary.md").read_text()
+    assert summary.startswith("# Sitemap audit\n") and "| shop.example.com | robots |" in summary and "…and" in summary
+
+    suites = ElementTree.parse(tmp_path / "junit.xml").getroot()
+    failing = {c.get("name").split()[0] for c in suites.iter("testcase") if c.find("failure") is not None}
+    assert int(suites.get("tests")) == len(CATALOGUE) and len(failing) == int(suites.get("failures")) and "NOINDEX" in failing and "DUPLICATE_URL" not in failing
+
+    with zipfile.ZipFile(tmp_path / "report.xlsx") as z:
+        assert re.findall(r'<sheet name="(\w+)"', z.read("xl/workbook.xml").decode()) == ["Summary", "Sites", "Sitemaps", "URLs", "Issues"]
+        sheet = z.read("xl/worksheets/sheet4.xml").decode()
+        ElementTree.fromstring(sheet)
+        assert sheet.count("<row ") == 26 and 'state="frozen"' in sheet and "<v>301</v>" in sheet
+
+    page = (tmp_path / "report.html").read_text()
+    data = re.search(r'<script id="data" type="application/json">(.*?)</script>', page, re.S)[1]
+    assert json.loads(data) == value and "<urlset>" not in data
+
+
+def test_junit_from_warning(run):
+    text = reports.junit(run, "warning")
+    assert int(re.search(r'failures="(\d+)"', text)[1]) > int(re.search(r'failures="(\d+)"', reports.junit(run, "none"))[1])
+
+
+def test_distributed(run, spark, tmp_path):
+    reports.write_tables(run, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "urls")).count() == 25
+
+
+def test_console(run):
+    text = reports.console(run)
+    assert "| shop.example.com | robots" in text and text.splitlines()[-1].endswith("notices")
+
+
+def test_run_dirs(tmp_path):
+    first, second = reports.run_dir(tmp_path, NOW), reports.run_dir(tmp_path, NOW)
+    assert (first.name, second.name) == ("2026-10-01_12-00-00", "2026-10-01_12-00-00_2")
+    reports.mark_latest(tmp_path, second)
+    assert (tmp_path / "latest").read_text() == second.name + "\n"
+
+
+def test_cells():
+    assert reports.column_name(1) == "A" and reports.column_name(26) == "Z" and reports.column_name(27) == "AA" and reports.column_name(703) == "AAA"
+    assert reports.typed("status", "301") == 301 and reports.typed("time_s", "0.5") == 0.5 and reports.typed("status", "-") == "-" and reports.typed("url", "5") == "5"
+    assert "…" in reports.cell("A1", "x" * 33_000) and reports.cell("A1", "a\x01<b>") == '<c r="A1" t="inlineStr"><is><t xml:space="preserve">a&lt;b&gt;</t></is></c>'
+    assert reports.escape_pipe("a|b\nc") == "a\\|b c" and reports.duration(59.6) == "1m 00s"
+    assert "</script" not in reports.script_json({"a": "</script>& "}) and json.loads(reports.script_json({"a": "<&"})) == {"a": "<&"}
+
+
+def test_csv(spark):
+    table = spark.createDataFrame([("=1", 'a"b'), ("-x", "two\nlines")], "a string, b string")
+    data = reports.csv_bytes(table, bom=True)
+    assert data.startswith(b"\xef\xbb\xbf") and list(csv.reader(io.StringIO(data.decode("utf-8-sig"), newline=""))) == [["a", "b"], ["'=1", 'a"b'], ["'-x", "two\nlines"]]
+
+
+def test_catalogue_markdown():
+    text = reports.catalogue_markdown()
+    assert all(f"`{d.code}`" in text for d in CATALOGUE)
