@@ -1,10 +1,10 @@
 """Document fingerprints by consistent weighted sampling.
 
 Terms are a text's runs of five words (lower-cased; of fewer words the whole sequence), weighted by how often they come.
-For each of SAMPLES samples a term has a fixed r and c ~ Gamma(2, 1) and beta ~ U(0, 1), looked up in a pool by a hash of
-the term; with t = floor(ln w / r + beta) and y = exp(r (t - beta)) the term with the least c / (y exp(r)) is sampled,
-and (term, t) enters the signature. Two signatures agree at a place with the probability of the generalised Jaccard
-similarity, sum of least weights over sum of greatest. Terms of the same pool entry are ranked by hash, alike everywhere.
+For each of SAMPLES samples a term has a fixed c ~ Gamma(2, 1), and r ~ Gamma(2, 1) and beta ~ U(0, 1), looked up in two
+pools by separate bits of a hash of term and sample; with t = floor(ln w / r + beta) and y = exp(r (t - beta)) the term
+with the least c / (y exp(r)) is sampled, and (term, t) enters the signature. Two signatures agree at a place with the probability of the generalised Jaccard
+similarity, sum of least weights over sum of greatest. Terms of the same two entries are ranked by hash, alike everywhere.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ SAMPLES = 128
 SHINGLE = 5
 SEED = 5
 POOL_BITS = 16
+POOL = (1 << POOL_BITS) - 1
 #: Terms that are sampled at a time, and words whose hashes a worker remembers.
 CHUNK = 4096
 REMEMBERED = 1 << 20
@@ -54,8 +55,9 @@ class Sampler:
         self.samples, self.shingle, self.words = samples, shingle, _Words()
         self.r, self.c = (rng.gamma(2.0, 1.0, size) for _ in range(2))
         self.beta = rng.uniform(0.0, 1.0, size)
-        self.once = (self.c * np.exp(-self.r * (1 - self.beta))).astype(np.float32)  # at weight 1, where t is 0
-        self.odd = rng.integers(0, 1 << 63, samples, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+        self.first = self.c.astype(np.float32)
+        self.once = np.exp(-self.r * (1 - self.beta)).astype(np.float32)  # the other factor at weight 1, where t is 0
+        self.odd = (rng.integers(0, 1 << 63, samples, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)).view(np.int64)
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the terms, and their weights."""
@@ -77,14 +79,15 @@ class Sampler:
         every = np.arange(self.samples)
         for at in range(0, len(hashes), CHUNK):
             h, w = hashes[at : at + CHUNK], weights[at : at + CHUNK]
-            pool = (h[None, :] * self.odd) >> np.uint64(64 - POOL_BITS)
-            a = self.once[pool]
+            mixed = h.view(np.int64)[None, :] * self.odd  # overflow wraps; the upper bits are the best mixed
+            at_c, at_r = (mixed >> (64 - POOL_BITS)) & POOL, (mixed >> (64 - 2 * POOL_BITS)) & POOL
+            a = self.first.take(at_c)
+            a *= self.once.take(at_r)
             more = np.flatnonzero(w > 1)
             if len(more):
-                own = pool[:, more]
-                r, beta = self.r[own], self.beta[own]
+                r, beta = self.r[at_r[:, more]], self.beta[at_r[:, more]]
                 t = np.floor(np.log(w[more]) / r + beta)
-                a[:, more] = self.c[own] * np.exp(-r * (t - beta + 1))
+                a[:, more] = self.c[at_c[:, more]] * np.exp(-r * (t - beta + 1))
             least = a.argmin(axis=1)
             values = h[least]
             if len(more):
