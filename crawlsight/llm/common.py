@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from crawlsight.sources.workers import by_name as on_workers
+from crawlsight.storage import shared_path, written
+
+__all__ = ["BATCH_ROWS", "WORD", "map_arrow", "on_workers", "shared_path", "table", "text_or_empty", "written"]
 
 #: Rows in an Arrow batch: a worker holds one batch of whole texts at a time.
 BATCH_ROWS = 500
@@ -19,37 +19,6 @@ BATCH_ROWS = 500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a folder of our own is set only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="crawlsight-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends here, for any lost executor."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def on_workers(fn: Callable, *args) -> Callable:
-    """fn(batches, *args) for mapInArrow or mapInPandas, found by name on the worker, wherever it was started."""
-    module, name, root = fn.__module__, fn.__qualname__, ROOT
-
-    def run(batches):
-        import importlib
-        import sys
-
-        if root not in sys.path:
-            sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(batches, *args)
-
-    return run
-
-
 def map_arrow(df: DataFrame, fn: Callable, schema: str, *args) -> DataFrame:
     """df.mapInArrow over batches of BATCH_ROWS rows at most."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
