@@ -130,13 +130,14 @@ def unrouted_issues(entries: DataFrame) -> DataFrame:
 
 
 def crawl_results(listed: DataFrame, responses: DataFrame, config: Config, keep: Keep) -> tuple[DataFrame, DataFrame]:
-    """URLs with their answers, and the issues of these."""
-    chosen = collect.first_seen(listed, config.crawl.max_urls).select("site_id", "url", "lastmod")
-    own = responses.where("phase = 'crawl'").dropDuplicates(["site_id", "request_url"]).withColumnRenamed("request_url", "url")
-    got = chosen.join(own.drop("phase", "primary_status", "primary_location", "final_url", "truncated"), ["site_id", "url"])
+    """URLs with their answers, and the issues of these.
+
+    Pages are analysed where they are read; only what is found in them is shuffled to the URLs, never a body.
+    """
+    got = responses.where("phase = 'crawl'").withColumnRenamed("request_url", "url")
     status, tag = F.col("status"), lambda name: page_checks.header(F.col("headers"), name)
     rows = got.select(
-        "site_id", "url", "lastmod", "status", "content_type", F.col("size").alias("size_bytes"), dates.rounded(F.col("duration_s")).alias("time_s"), "duration_s", "retries",
+        "site_id", "url", "status", "content_type", F.col("size").alias("size_bytes"), dates.rounded(F.col("duration_s")).alias("time_s"), "duration_s", "retries",
         F.when(status.between(300, 399), F.col("location")).otherwise("").alias("redirect_to"), page_checks.shown_error(status, F.col("retries"), F.col("error")).alias("error"),
         texts.status_text(status).alias("status_text"), F.coalesce(F.array_join(tag("X-Robots-Tag"), ", "), F.lit("")).alias("x_robots_tag"),
         page_checks.first_header(F.col("headers"), "Last-Modified").alias("last_modified"), F.map_filter("headers", lambda k, v: F.lower(k).isin("x-robots-tag", "last-modified", "date")).alias("headers"),
@@ -145,7 +146,9 @@ def crawl_results(listed: DataFrame, responses: DataFrame, config: Config, keep:
     rows = rows.withColumn("html", (status == 200) & texts.is_html(F.col("content_type"), F.col("body")))
     read = html_page.pages(rows.where("html"), config.robots.user_agent)
     plain = rows.where("NOT html").drop("body").withColumn("page", F.lit(None).cast(read.schema["page"].dataType))
-    x = read.unionByName(plain).withColumn("links", F.when(F.col("html"), page_checks.distinct_canonicals(F.col("page.canonicals"))))
+    chosen = collect.first_seen(listed, config.crawl.max_urls).select("site_id", "url", "lastmod")
+    x = chosen.join(read.unionByName(plain).dropDuplicates(["site_id", "url"]), ["site_id", "url"])
+    x = x.withColumn("links", F.when(F.col("html"), page_checks.distinct_canonicals(F.col("page.canonicals"))))
     x = x.withColumn("link", F.when(F.size("links") == 1, F.get("links", F.lit(0))))
     x = x.withColumn("canonical", F.when(F.col("link").isNotNull(), page_checks.resolved(F.col("url"), F.col("link"))))
     x = keep(x, "crawl")
@@ -208,7 +211,8 @@ def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None,
     visits = keep(walked(roots, documents, config.sitemap.max_depth), "visits")
 
     entries = keep(listed_entries(visits, config, moment), "entries")
-    placed = collect.in_sections(entries.where("whole"), sites if all_sites is None else all_sites.join(sites.select("site_id"), "site_id", "left").unionByName(sites).dropDuplicates(["site_id"]))
+    configured = sites if all_sites is None else all_sites.unionByName(sites).dropDuplicates(["site_id"])
+    placed = collect.in_sections(entries.where("whole"), configured)
     kept = keep(placed.where("section IS NULL"), "kept")
     listed = keep(collect.collect_urls(kept), "listed")
     counts = collect.file_counts(kept)
