@@ -3,8 +3,8 @@
 A budget of tokens goes down a tree of domains, languages and sources. Children share their parent's budget by weight;
 what a child lacks (its documents times the epochs allowed) goes to its siblings first, and what they cannot take to the
 parent's siblings, since no node gets more than its documents hold. A leaf reads whole epochs of its documents and then
-the prefix of one more, in an order seeded by epoch. The prefix is found by a histogram over 4096 parts of that order, so
-only the documents of the one part that holds its end are sorted.
+the prefix of one more, in an order seeded by epoch. The prefix is found by sums over 4096 parts of that order, narrowed
+down 16 at a time, so only the documents of the one part that holds its end are sorted.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from crawlsight.llm.line_dedup import place_columns
 
 LEVELS = ("domain", "lang", "source")
 #: Sources in four domains by their number; a source without a number is in the last.
-DOMAIN = "CASE coalesce(cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint), -1) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'forums' END"
+DOMAIN = "CASE coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint), -1) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'code' ELSE 'forums' END"
 #: Whole numbers; a child without one weighs 1.
 WEIGHTS = {"domain": {"web": 4, "books": 3, "code": 2, "forums": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2, "src1": 3}}
 SEED = 17
 #: Of the tokens that the documents hold once, in hundredths.
 BUDGET_PERCENT = 50
 MAX_EPOCHS = 4
+#: Hexadecimal digits of a document's place in an epoch that tell its part: 4096 parts.
+DIGITS = 3
 #: Leaves up to which their plan (some 100 bytes each) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_LEAVES = 20_000
 
@@ -32,8 +34,7 @@ def leaf_columns(docs: DataFrame, domain: str = DOMAIN) -> list[Column]:
     """did, tk, domain, lang, source (a null is the child '') and tokens (words) of each document."""
     named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    domain = F.coalesce(F.expr(domain.replace("(source", "(coalesce(source, '')")), F.lit(""))
-    return [*place_columns(docs), domain.alias("domain"), *named, tokens.alias("tokens")]
+    return [*place_columns(docs), F.coalesce(F.expr(domain), F.lit("")).alias("domain"), *named, tokens.alias("tokens")]
 
 
 def weight(level: str, weights: dict) -> Column:
@@ -81,7 +82,7 @@ def small(plan: DataFrame) -> DataFrame:
 def in_order(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     """rows (LEVELS, did, tk) with their leaf's plan and their place in its last epoch's order: h, and its part."""
     seeded = F.md5(F.concat_ws(":", F.lit(str(seed)), "copies", "did", "tk"))
-    return rows.join(plan, list(LEVELS)).withColumn("h", seeded).withColumn("part", F.substring("h", 1, 3))
+    return rows.join(plan, list(LEVELS)).withColumn("h", seeded).withColumn("part", F.substring("h", 1, DIGITS))
 
 
 def planned(slim: DataFrame, weights: dict, budget_percent: int, max_epochs: int, seed: int) -> DataFrame:
@@ -91,10 +92,20 @@ def planned(slim: DataFrame, weights: dict, budget_percent: int, max_epochs: int
     given = leaf_budgets(leaves, budget, weights, max_epochs)
     copies = F.when(F.col("once") > 0, F.expr("budget div once")).otherwise(F.lit(0)).cast("long")
     plan = written(given.withColumn("copies", copies).withColumn("rest", F.col("budget") - F.col("copies") * F.col("once")).select(*LEVELS, "copies", "rest"), "mix-plan")
-    parts = in_order(slim, small(plan), seed).groupBy(*LEVELS, "rest", "part").agg(F.sum("tokens").alias("held"))
-    upto = F.sum("held").over(Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    ends = parts.withColumn("upto", upto).where("upto >= rest AND upto - held < rest").select(*LEVELS, F.col("part").alias("end_part"), (F.col("upto") - F.col("held")).alias("before"))
-    return written(plan.join(ends, list(LEVELS), "left"), "mix-ends")
+    parts = written(in_order(slim, small(plan), seed).groupBy(*LEVELS, "part").agg(F.sum("tokens").alias("held")), "mix-parts")
+    ends = plan.where("rest > 0").select(*LEVELS, "rest", F.lit("").alias("end_part"), F.lit(0).cast("long").alias("before"))
+    for digits in range(1, DIGITS + 1):
+        ends = narrowed(parts, small(ends), digits)
+    return written(plan.join(ends.drop("rest"), list(LEVELS), "left"), "mix-ends")
+
+
+def narrowed(parts: DataFrame, ends: DataFrame, digits: int) -> DataFrame:
+    """ends (LEVELS, rest, end_part, before) by one digit more: of the 16 parts below a leaf's end_part the one with its end."""
+    below = parts.join(ends, list(LEVELS)).where(F.startswith("part", "end_part"))
+    sums = below.groupBy(*LEVELS, "rest", "before", F.substring("part", 1, digits).alias("part")).agg(F.sum("held").alias("held"))
+    upto = F.col("before") + F.sum("held").over(Window.partitionBy(*LEVELS).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    found = sums.withColumn("upto", upto).where("upto >= rest AND upto - held < rest")
+    return found.select(*LEVELS, "rest", F.col("part").alias("end_part"), (F.col("upto") - F.col("held")).alias("before"))
 
 
 def taken(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
