@@ -189,6 +189,10 @@ def _crawl_issues(rows: DataFrame, stage: int, issues: Column) -> DataFrame:
 ABSENT = {"crawled": False, "status": 0, "status_text": "", "redirect_to": "", "content_type": "", "error": "", "retries": 0, "title": "", "h1": "", "text_length": 0, "canonical": "", "meta_robots": "", "x_robots_tag": "", "last_modified": "", "size_bytes": 0, "time_s": 0.0, "final_status": 0}
 
 
+#: Kinds of issues that are worked out in one plan.
+TOGETHER = 2
+
+
 def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None, now: datetime | None = None, all_sites: DataFrame | None = None, keep: Keep = written) -> Audit:
     """Audits sites (SITES) over their captured responses (RESPONSES).
 
@@ -239,7 +243,9 @@ def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None,
         for name, value in ABSENT.items():
             rows = rows.withColumn(name, F.lit(value))
         rows = rows.withColumn("redirect_chain", F.array().cast(redirects.HOPS))
-    reported = keep(catalogue.reported(catalogue.union(issues), spark, policy), "issues")
+    # A few plans of a few checks each: one plan of all would be optimised anew after each of its many stages.
+    parts = [keep(catalogue.reported(catalogue.union(issues[i : i + TOGETHER]), spark, policy), "issues") for i in range(0, len(issues), TOGETHER)]
+    reported = catalogue.union(parts)
     rows = rows.join(stats.url_severity(reported), ["site_id", "url"], "left").withColumn("max_severity", F.coalesce("max_severity", F.lit("")))
     robots = files.select("site_id", "robots_url", F.col("status").alias("robots_status"), F.col("found").alias("robots_found"))
     agents = rules.select("site_id", F.col("agent").alias("robots_group"), "crawl_delay")
