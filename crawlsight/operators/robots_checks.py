@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsight.functions import urls
@@ -11,9 +11,10 @@ from crawlsight.operators.collect import url_issues
 from crawlsight.sources import robots_txt
 
 
-def target(url):
-    path, query = urls.path_query(url)
-    return F.concat(F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+def target(url: Column) -> Column:
+    """Path and query of a URL as robots.txt sees them; / for an empty path."""
+    rest = F.regexp_replace(F.regexp_replace(urls.encode(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", ""), "#.*$", "")
+    return F.regexp_replace(F.regexp_replace(rest, r"^(\?|$)", "/$1"), r"^([^?]*)\?$", "$1")
 
 
 def judged(listed: DataFrame, rules: DataFrame) -> DataFrame:

@@ -99,10 +99,14 @@ def verdict(target: Column, rules: Column) -> Column:
 
     No rule and /robots.txt allow.
     """
+
+    def of(path: Column) -> Column:
+        hits = F.filter(rules, lambda r: urls.robots_matches(path, r["pattern"], r["regex"]))
+        return F.array_max(F.transform(hits, lambda r: F.struct(F.octet_length(r["pattern"]).alias("size"), r["allow"].alias("allow"), (-r["rule_no"]).alias("place"), r["raw"].alias("raw"))))
+
+    def told(best: Column) -> Column:
+        shown = F.concat(F.when(best["allow"], "Allow: ").otherwise("Disallow: "), best["raw"])
+        return F.struct(F.coalesce(best["allow"], F.lit(True)).alias("allowed"), F.coalesce(shown, F.lit("")).alias("rule"))
+
     path = urls.robots_path(F.when(target == "", "/").otherwise(target))
-    hits = F.filter(rules, lambda r: urls.robots_matches(path, r["pattern"], r["regex"]))
-    ranked = F.transform(hits, lambda r: F.struct(F.octet_length(r["pattern"]).alias("size"), r["allow"].alias("allow"), (-r["rule_no"]).alias("place"), r["raw"].alias("raw")))
-    best = F.array_max(ranked)
-    free = (target == "/robots.txt") | best.isNull()
-    shown = F.concat(F.when(best["allow"], "Allow: ").otherwise("Disallow: "), best["raw"])
-    return F.struct(F.when(free, True).otherwise(best["allow"]).alias("allowed"), F.when(free, "").otherwise(shown).alias("rule"))
+    return urls.let(F.when(target != "/robots.txt", urls.let(path, of)), told)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from crawlsight.operators import catalogue, collect, document_checks, entry_checks, page_checks, redirects, stats, tree, variants
 from crawlsight.sources import sitemap_file
 from crawlsight.storage import written
-from tests.helpers import sites
+from tests.helpers import sites, values
 
 E = sitemap_file.new_entry
 
@@ -227,3 +227,11 @@ def test_counts(spark):
 def test_first_seen(spark, n):
     listed = spark.createDataFrame([("s", f"u{i}", (3 - i,)) for i in range(3)], "site_id string, url string, seen struct<n: int>")
     assert sorted(r.url for r in collect.first_seen(listed, n).collect()) == (["u1", "u2"] if n else ["u0", "u1", "u2"])
+
+
+def test_robots_target(spark):
+    from crawlsight.operators.robots_checks import target
+
+    cases = {"https://e.com": "/", "https://e.com?x": "/?x", "https://e.com/a?": "/a", "https://e.com/a?b?": "/a?b?", "https://e.com/a b?c#d": "/a%20b?c", "https://e.com/#x": "/"}
+    got = values(spark, [(u,) for u in cases], "u string", t=target(F.col("u")))
+    assert [g[0] for g in got] == list(cases.values())
