@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -59,6 +59,7 @@ def test_empty(spark):
         packing.pack(frame(spark), tokenizer_path(), 1000)
 
 
+@settings(deadline=None)
 @given(st.integers(0, 5000), st.sampled_from([1, 8, 1024]))
 def test_cuts(n, capacity):
     at = 0
@@ -68,6 +69,7 @@ def test_cuts(n, capacity):
     assert at == n
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 10), max_size=80))
 def test_bins(powers):
     bins, out = packing.Bins(7, 1024), []
@@ -89,6 +91,7 @@ def test_both_libraries_agree():
     assert encoder(tokenizer_path("word_bpe_49k.json")).fast is None
 
 
+@settings(deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
     encode = encoder(tokenizer_path())
