@@ -102,6 +102,11 @@ def representatives(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> D
     first = prints.select("fp", place.alias("place")).groupBy("fp").agg(F.min("place").alias("place"))
     kept = rooted.join(first, "fp").groupBy("root").agg(F.min("place").alias("place"))
     kept = written(kept.select("place.did", "place.tk"), "simhash-kept")
+    return rows_at(docs, kept)
+
+
+def rows_at(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of docs for each place of kept (did, tk); did is the doc_id, LAST_ID for a null."""
     did, row = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(did.alias("did"), F.xxhash64(text_or_empty()).alias("tk"), row.alias("row"))
     return rows.join(kept, ["did", "tk"], "left_semi").groupBy("did", "tk").agg(F.first("row").alias("row")).select("row.*")
