@@ -543,15 +543,25 @@ def url_table_page(spark, sf_dir):
     return x.orderBy(F.desc("size_bytes"), "page_id").offset(200).limit(100)
 
 
-@query
-def junit_matrix(spark, sf_dir):
-    """Every site with every code, and how often it has it."""
+def _junit(spark, sf_dir, definitions) -> DataFrame:
     found = stats.code_counts(answer_issues(spark, sf_dir))
-    codes = F.explode(F.array(*[F.lit(d.code) for d in catalogue.CATALOGUE if d.group in ("status", "redirects", "performance")])).alias("code")
+    codes = F.explode(F.array(*[F.lit(d.code) for d in definitions])).alias("code")
     every = references(spark, sf_dir).select("site_id", codes)
     return every.join(found, ["site_id", "code"], "left").select("site_id", "code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query
+def junit_matrix(spark, sf_dir):
+    """Every site with every code of the groups of answers, as its SQL has it; junit_all_codes has the whole catalogue."""
+    return _junit(spark, sf_dir, [d for d in catalogue.CATALOGUE if d.group in ("status", "redirects", "performance")])
+
+
+@query
+def junit_all_codes(spark, sf_dir):
+    """Every site with every code of the catalogue, and how often it has it."""
+    return _junit(spark, sf_dir, catalogue.CATALOGUE)
+
+
 @query
 def csv_sanitize(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(picked(F.col("doc_id"), "", "=", "+", "@", "-", "- ", "-5", "\t"), F.coalesce("text", F.lit(""))).alias("cell"))
