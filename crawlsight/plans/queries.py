@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlsight.functions import dates, langcodes, urls
@@ -466,7 +466,7 @@ def document_checks_of_pages(spark, sf_dir):
 
 @query
 def tree_walk(spark, sf_dir):
-    """An index tree of the pages' numbers: number n holds 3 n + 1, 3 n + 2 and 3 n + 3; five levels are read."""
+    """An index tree of the pages' numbers: number n holds 3 n + 1, 3 n + 2 and 3 n + 3; five levels are read, 364 pages at most."""
     p = table(spark, sf_dir, "pages").select("page_id")
     kid = F.explode(F.array(*[F.col("page_id") * IN_INDEX + i for i in range(1, IN_INDEX + 1)])).alias("kid")
     known = p.select("page_id", kid).join(p.select(F.col("page_id").alias("kid")), "kid")
@@ -476,6 +476,25 @@ def tree_walk(spark, sf_dir):
     return x.select(F.col("sm_order").cast("long").alias("sm_order"), "url", "parent", F.col("depth").cast("long").alias("depth"), "visit")
 
 
+@query
+def site_tree_walk(spark, sf_dir):
+    """An index tree of each site's pages by their place: the fan-out grows with the site, so that five levels hold them.
+
+    Every fiftieth page hangs below the one before it, so some branches go beyond the limit.
+    """
+    own = Window.partitionBy("site_id")
+    p = pages(spark, sf_dir).select("site_id", "page_id", (F.row_number().over(own.orderBy("page_id")) - 1).alias("r"), F.count("*").over(own).alias("n"))
+    wide = F.greatest(F.lit(2), F.ceil(F.pow("n", F.lit(0.2)))).cast("long")
+    below = F.when(F.col("r") % 50 == 49, F.col("r") - 1).otherwise(F.floor((F.col("r") - 1) / wide)).cast("long")
+    p = written(p.select("site_id", "page_id", F.col("r").cast("long").alias("r"), below.alias("below")), "site-tree")
+    parents = p.select("site_id", F.col("r").alias("below"), F.col("page_id").cast("string").alias("url"))
+    known = p.where("r > 0").select("site_id", "below", "page_id").join(parents, ["site_id", "below"])
+    indexes = known.groupBy("site_id", "url").agg(F.transform(F.array_sort(F.collect_list("page_id")), lambda k: k.cast("string")).alias("children"))
+    roots = p.where("r = 0").select(F.concat("site_id").alias("site_id"), F.lit(0).alias("root_no"), F.col("page_id").cast("string").alias("url"), F.lit(True).alias("in_robots"))
+    x = tree.visits(roots, indexes, 5)
+    return x.select("site_id", F.col("sm_order").cast("long").alias("sm_order"), "url", "parent", F.col("depth").cast("long").alias("depth"), "visit")
+
+
 # Counts and reports.
 
 
