@@ -82,8 +82,8 @@ def _batch(rows: list, ids: list | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=ARROW.append(pa.field("ids", pa.list_(pa.int64()))))
 
 
-def pack_partition(batches, path: str, capacity: int, end_id: int, with_ids: bool):
-    encode, bins = encoder(path), Bins(TaskContext.get().partitionId() * SEQUENCES, capacity)
+def pack_partition(batches, path: str, capacity: int, end_id: int, with_ids: bool, added_tokens: bool):
+    encode, bins = encoder(path, added_tokens), Bins(TaskContext.get().partitionId() * SEQUENCES, capacity)
     for batch in batches:
         out: list = []
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -98,15 +98,16 @@ def pack_partition(batches, path: str, capacity: int, end_id: int, with_ids: boo
     yield _batch(out, [] if with_ids else None)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """Pieces of docs (doc_id, text) in sequences of ``capacity`` ids (a power of two).
 
     A row for each piece: doc_id, start and length in its document's ids (those of the text, then end_id), ids_crc32 of
     the ids as little-endian unsigned 32-bit numbers, doc_tokens, sequence_id, offset in the sequence; ``ids`` too with
     with_ids. A null text counts as empty (one piece, the end id); a null doc_id stays null; each repeated row is a
-    document of its own; other columns are ignored; an empty table gives no rows.
+    document of its own; other columns are ignored; an empty table gives no rows. With added_tokens, strings of the file's
+    added tokens are those tokens, else ordinary text.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     schema = SCHEMA + ", ids array<long>" * with_ids
-    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), pack_partition, schema, tokenizer, capacity, end_id, with_ids)
+    return map_arrow(docs.select("doc_id", text_or_empty().alias("text")), pack_partition, schema, tokenizer, capacity, end_id, with_ids, added_tokens)

@@ -29,7 +29,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 The same vocabulary is also loaded into ``tiktoken``, which is three times as fast and gives the same ids where both
 libraries read the pre-tokenizing pattern alike. Texts with other characters than those of PLAIN, where Unicode
 versions or white space could be read differently, and files whose merges aren't in the order of their ids, go to
-``tokenizers``. Strings of special tokens in a text are ordinary text.
+``tokenizers``. Strings of added tokens in a text are ordinary text, or with ``added`` the tokens, as by the library's
+default; texts that hold one go to ``tokenizers`` then.
 """
 
 from __future__ import annotations
@@ -41,18 +42,21 @@ def _same_as_ranks(spec: dict) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            ranks = _same_as_ranks(json.load(f))
+            spec = json.load(f)
+        ranks = _same_as_ranks(spec)
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
+        contents = [re.escape(x["content"]) for x in spec.get("added_tokens", []) if added]
+        self.added = re.compile("|".join(contents)) if contents else None
         self.fast = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and PLAIN.fullmatch(text):
+        if self.fast and PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -61,5 +65,5 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
