@@ -2,8 +2,9 @@
 
 The same vocabulary is also loaded into ``tiktoken``, which is three times as fast and gives the same ids where both
 libraries read the pre-tokenizing pattern alike. Texts with other characters than those of PLAIN, where Unicode
-versions or white space could be read differently, and files whose merges aren't in the order of their ids, go to
-``tokenizers``. Strings of added tokens in a text are ordinary text, or with ``added`` the tokens, as by the library's
+versions or white space could be read differently, texts with a run of white space of RUN characters, on which the
+pattern's look-ahead would backtrack beyond its stack, and files whose merges aren't in the order of their ids, go to
+``tokenizers``, which reads any text. Strings of added tokens in a text are ordinary text, or with ``added`` the tokens, as by the library's
 default; texts that hold one go to ``tokenizers`` then.
 """
 
@@ -17,6 +18,9 @@ import numpy as np
 
 #: Latin letters, digits, usual punctuation, plain white space.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]*")
+#: tiktoken's pattern fails on some 900,000 characters of white space in a row.
+RUN = 10_000
+BLANK = re.compile("[\t\n\r ]{%d}" % RUN)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -55,8 +59,12 @@ class Encoder:
         self.added = re.compile("|".join(contents)) if contents else None
         self.fast = ranks and tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def quick(self, text: str) -> bool:
+        """Whether tiktoken gives the library's ids for the text."""
+        return bool(self.fast and PLAIN.fullmatch(text)) and not (self.added and self.added.search(text)) and not (len(text) >= RUN and BLANK.search(text))
+
     def ids(self, text: str) -> np.ndarray:
-        if self.fast and PLAIN.fullmatch(text) and not (self.added and self.added.search(text)):
+        if self.quick(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
