@@ -1,16 +1,20 @@
 """Harmonic packing of documents into sequences of a fixed capacity.
 
-Classes are the reciprocal capacities C/1, C/2, C/4, ... 1. A document is cut into pieces whose lengths are such
-reciprocals, largest first, so that a bin of class C/k holds exactly k pieces and is full. Each worker fills the bins of
-each class by itself, in one pass without a shuffle, and holds one open bin a class (fewer than 2 C ids' worth of piece
-records). What is left open at a worker's end is joined, largest first, into full sequences and at most one short
-sequence a power of two below C; a sequence of such a length needs no padding, so nothing is padded.
+Lengths are partitioned into reciprocal-capacity classes: class k holds those above C/(k+1) up to C/k, and a bin of class
+k takes k documents, whole. What such a bin leaves free, less than C/(k+1) ids, is filled up with cuts of fillers: of
+documents that are longer than C, whose whole capacities are sequences by themselves, and, as long as a bin waits to be
+filled, of the next document that comes. So full bins have no padding, and only fillers are cut.
+
+Each worker fills its bins by itself, in one pass without a shuffle. It holds an open bin a class (62 for 1024 ids),
+one bin that waits, and fillers of some 2 C ids. What is left open at a worker's end is joined into full sequences and
+then into at most one short sequence a power of two below C; a sequence of such a length needs no padding, so nothing is
+padded.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -28,57 +32,91 @@ ARROW = pa.schema([(name.split()[0], pa.int64()) for name in SCHEMA.split(", ")]
 SEQUENCES = 1 << 40
 
 
-def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: whole capacities, then falling powers of two."""
-    at = 0
-    while n - at >= capacity:
-        yield at, capacity
-        at += capacity
-    while at < n:
-        length = 1 << ((n - at).bit_length() - 1)
-        yield at, length
-        at += length
+class Piece:
+    """Some of a document's ids, from ``start`` on."""
 
+    __slots__ = ("doc_id", "doc_tokens", "ids", "start")
 
-class Bins:
-    """The open bins of one worker: by piece length, the pieces that wait for their bin to fill."""
+    def __init__(self, doc_id, start: int, ids: np.ndarray, doc_tokens: int):
+        self.doc_id, self.start, self.ids, self.doc_tokens = doc_id, start, ids, doc_tokens
 
-    def __init__(self, first: int, capacity: int):
-        self.sequence, self.capacity, self.open = first, capacity, {}
+    def cut(self, n: int) -> tuple[Piece, Piece]:
+        return Piece(self.doc_id, self.start, self.ids[:n], self.doc_tokens), Piece(self.doc_id, self.start + n, self.ids[n:], self.doc_tokens)
 
-    def add(self, piece: tuple, out: list) -> None:
-        length = piece[2]
-        waiting = self.open.setdefault(length, [])
-        waiting.append(piece)
-        if len(waiting) * length == self.capacity:
-            self.close(waiting, out)
-            waiting.clear()
 
-    def close(self, pieces: list, out: list) -> None:
+class Bins:
+    """The bins of one worker: by class, the documents that wait for their bin to get its count; and the fillers."""
+
+    def __init__(self, first: int, capacity: int):
+        self.sequence, self.capacity = first, capacity
+        self.open: dict[int, list[Piece]] = {}
+        self.waiting: list[Piece] = []  # a bin that has its count and is to be filled up
+        self.fillers: deque[Piece] = deque()
+        self.spare = 0  # ids of the fillers
+
+    def add(self, doc_id, ids: np.ndarray, out: list) -> None:
+        piece = Piece(doc_id, 0, ids, len(ids))
+        while len(piece.ids) >= self.capacity:
+            whole, piece = piece.cut(self.capacity)
+            self.close([whole], out)
+        if not len(piece.ids):
+            return
+        piece.ids = piece.ids.copy()  # not a view of a long document
+        if self.waiting or (piece.start and self.spare < self.capacity):
+            self.fillers.append(piece)
+            self.spare += len(piece.ids)
+        else:
+            k = self.capacity // len(piece.ids)
+            held = self.open.setdefault(k, [])
+            held.append(piece)
+            if len(held) == k:
+                self.waiting = self.open.pop(k)
+        gap = self.capacity - sum(len(p.ids) for p in self.waiting)
+        if self.waiting and self.spare >= gap:
+            self.close(self.waiting + self.filling(gap), out)
+            self.waiting = []
+
+    def filling(self, n: int) -> list[Piece]:
+        """The next n ids of the fillers."""
+        taken = []
+        while n:
+            piece = self.fillers.popleft()
+            if len(piece.ids) > n:
+                piece, rest = piece.cut(n)
+                self.fillers.appendleft(rest)
+            taken.append(piece)
+            n, self.spare = n - len(piece.ids), self.spare - len(piece.ids)
+        return taken
+
+    def close(self, pieces: list[Piece], out: list) -> None:
         offset = 0
-        for piece in pieces:
-            out.append((*piece, self.sequence, offset))
-            offset += piece[2]
+        for p in pieces:
+            out.append((p, self.sequence, offset))
+            offset += len(p.ids)
         self.sequence += 1
 
     def finish(self, out: list) -> None:
-        rest = [p for length in sorted(self.open, reverse=True) for p in self.open[length]]
-        left = sum(p[2] for p in rest)
-        while rest:
-            goal, held, k = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1), 0, 0
-            while held < goal:
-                held += rest[k][2]
-                k += 1
-            self.close(rest[:k], out)
-            rest, left = rest[k:], left - held
-
-
-def _batch(rows: list, ids: list | None) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * (len(ARROW) + (ids is not None))
-    if ids is None:
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=ARROW)
-    fixed, last = [*columns[:5], *columns[6:]], columns[5]
-    arrays = [pa.array(c, pa.int64()) for c in fixed] + [pa.array(last, pa.list_(pa.int64()))]
+        left = self.waiting + [p for k in sorted(self.open) for p in self.open[k]]
+        self.fillers.extendleft(reversed(left))
+        self.spare = sum(len(p.ids) for p in self.fillers)
+        while self.spare:
+            self.close(self.filling(min(self.capacity, 1 << (self.spare.bit_length() - 1))), out)
+
+
+def _batch(rows: list[tuple[Piece, int, int]], with_ids: bool) -> pa.RecordBatch:
+    columns = [
+        [p.doc_id for p, _, _ in rows],
+        [p.start for p, _, _ in rows],
+        [len(p.ids) for p, _, _ in rows],
+        [zlib.crc32(p.ids.tobytes()) for p, _, _ in rows],
+        [p.doc_tokens for p, _, _ in rows],
+        [sequence for _, sequence, _ in rows],
+        [offset for _, _, offset in rows],
+    ]
+    arrays = [pa.array(c, pa.int64()) for c in columns]
+    if not with_ids:
+        return pa.RecordBatch.from_arrays(arrays, schema=ARROW)
+    arrays.append(pa.array([p.ids.tolist() for p, _, _ in rows], pa.list_(pa.int64())))
     return pa.RecordBatch.from_arrays(arrays, schema=ARROW.append(pa.field("ids", pa.list_(pa.int64()))))
 
 
@@ -87,15 +125,11 @@ def pack_partition(batches, path: str, capacity: int, end_id: int, with_ids: boo
     for batch in batches:
         out: list = []
         for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids = np.append(encode.ids(text), np.uint32(end_id)).astype("<u4")
-            for start, length in cuts(len(ids), capacity):
-                piece = ids[start : start + length]
-                extra = (piece.tolist(),) if with_ids else ()
-                bins.add((doc_id, start, length, zlib.crc32(piece.tobytes()), len(ids), *extra), out)
-        yield _batch(out, [] if with_ids else None)
+            bins.add(doc_id, np.append(encode.ids(text), np.uint32(end_id)).astype("<u4"), out)
+        yield _batch(out, with_ids)
     out = []
     bins.finish(out)
-    yield _batch(out, [] if with_ids else None)
+    yield _batch(out, with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:

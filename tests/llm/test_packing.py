@@ -60,27 +60,55 @@ def test_empty(spark):
 
 
 @settings(deadline=None)
-@given(st.integers(0, 5000), st.sampled_from([1, 8, 1024]))
-def test_cuts(n, capacity):
-    at = 0
-    for start, length in packing.cuts(n, capacity):
-        assert start == at and capacity % length == 0
-        at += length
-    assert at == n
+@given(st.lists(st.integers(1, 200), max_size=120), st.sampled_from([1, 8, 64]))
+def test_bins(lengths, capacity):
+    """Every id in one piece; classes hold their count of whole documents; nothing is padded."""
+    bins, out = packing.Bins(7, capacity), []
+    for i, n in enumerate(lengths):
+        bins.add(i, np.full(n, i, dtype="<u4"), out)
+    done = {s for _, s, _ in out}
+    bins.finish(out)
+    totals, ends, sequences = defaultdict(int), defaultdict(int), defaultdict(list)
+    for piece, sequence, offset in out:
+        assert offset == totals[sequence] and len(piece.ids) and set(piece.ids.tolist()) == {piece.doc_id}
+        totals[sequence] += len(piece.ids)
+        sequences[sequence].append(piece)
+    for piece in sorted((p for p, _, _ in out), key=lambda p: (p.doc_id, p.start)):
+        assert piece.start == ends[piece.doc_id]
+        ends[piece.doc_id] += len(piece.ids)
+    assert dict(ends) == dict(enumerate(lengths))
+    assert all(totals[s] == capacity for s in done)
+    short = [t for t in totals.values() if t < capacity]
+    assert all(t & (t - 1) == 0 for t in short) and len(set(short)) == len(short)
+    for s in done:
+        first = sequences[s][0]
+        k = capacity // len(first.ids)
+        assert all(capacity // len(p.ids) == k and len(p.ids) in (capacity, p.doc_tokens % capacity) for p in sequences[s][:k] if capacity > 1)
+
+
+def test_most_documents_are_whole():
+    rng = np.random.default_rng(0)
+    bins, out = packing.Bins(0, 1024), []
+    for i in range(20_000):
+        bins.add(i, np.zeros(int(rng.lognormal(5, 1)) + 1, dtype="<u4"), out)
+    bins.finish(out)
+    assert len(out) < 1.6 * 20_000 and sum(len(p.ids) == p.doc_tokens for p, _, _ in out) > 0.7 * 20_000
 
 
-@settings(deadline=None)
-@given(st.lists(st.integers(0, 10), max_size=80))
-def test_bins(powers):
-    bins, out = packing.Bins(7, 1024), []
-    for i, p in enumerate(powers):
-        bins.add((i, 0, 1 << p), out)
-    bins.finish(out)
-    totals = defaultdict(int)
-    for piece in out:
-        totals[piece[-2]] += piece[2]
-    assert sorted(p[0] for p in out) == list(range(len(powers)))
-    assert all(t & (t - 1) == 0 and t <= 1024 for t in totals.values()) and sum(t < 1024 for t in totals.values()) <= 10
+LONG = {"blanks": "a" + " " * 1_200_000 + "b", "lines": "\n" * 1_200_000, "letters": "x" * 300_000, "punctuation": "!" * 300_000, "mixed": "a \t\n" * 100_000}
+
+
+def test_very_long_texts(spark):
+    """Runs of any length come through every operator that reads ids."""
+    from crawlsight.llm.token_counts import counted
+
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(LONG.values())]
+    encode = encoder(tokenizer_path())
+    want = {i: len(encode.slow.encode(d[1], add_special_tokens=False).ids) for i, d in enumerate(docs)}
+    assert {r.doc_id: r.tokens for r in counted(frame(spark, docs), tokenizer_path()).collect()} == want
+    import corpus_pipeline
+
+    check(corpus_pipeline.packed(spark, frame(spark, docs), "").collect(), docs, 1024)
 
 
 def test_both_libraries_agree():
