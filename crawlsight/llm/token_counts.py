@@ -76,11 +76,16 @@ class Rollup:
         stream.close()
         return set(json.loads(text))
 
+    def _held(self, marks: list[str]) -> set[str]:
+        """Batches within the newest base of the marks."""
+        return self._folded(_bases(marks)[-1]) if _bases(marks) else set()
+
+    def _counted(self, marks: list[str]) -> list[str]:
+        return sorted({m.removeprefix("batch-") for m in marks if m.startswith("batch-")} | self._held(marks))
+
     def committed(self) -> list[str]:
         """Batches that count, those within a compacted base too."""
-        marks = self._marks()
-        bases = [m for m in marks if m.startswith("base-")]
-        return sorted({m.removeprefix("batch-") for m in marks if m.startswith("batch-")} | (self._folded(bases[-1]) if bases else set()))
+        return self._counted(self._marks())
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Applies a batch (named by letters, digits, - and _) once; False if it was committed before."""
@@ -93,28 +98,35 @@ class Rollup:
         self._mark(f"batch-{batch}")
         return True
 
-    def _parts(self) -> list[str]:
-        """Folders whose sums make the totals: the newest base and the batches that it doesn't hold."""
-        marks = self._marks()
-        bases = [m for m in marks if m.startswith("base-")]
-        held = self._folded(bases[-1]) if bases else set()
-        return bases[-1:] + [m for m in marks if m.startswith("batch-") and m.removeprefix("batch-") not in held]
+    def _sums(self, marks: list[str]) -> DataFrame:
+        """Totals of what the marks name: the newest base and the batches that it doesn't hold."""
+        held = self._held(marks)
+        parts = _bases(marks)[-1:] + [m for m in marks if m.startswith("batch-") and m.removeprefix("batch-") not in held]
+        if not parts:
+            return self.spark.createDataFrame([], TOTALS)
+        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/{p}" for p in parts])
+        sums = rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+        return sums.where("documents <> 0 OR tokens <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, documents, tokens; groups that nothing is left of are left out.
 
         Null sources, languages and versions are groups of their own. Without any batch there are no rows.
         """
-        if not (parts := self._parts()):
-            return self.spark.createDataFrame([], TOTALS)
-        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/{p}" for p in parts])
-        sums = rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        return sums.where("documents <> 0 OR tokens <> 0")
+        return self._sums(self._marks())
 
     def compact(self) -> str:
-        """Folds all committed batches into a new base, which counts from its marker on. Its name."""
-        batches = self.committed()
-        base = f"base-{len([m for m in self._marks() if m.startswith('base-')]):06d}"
-        self.totals().write.mode("overwrite").parquet(f"{self.path}/{base}")
-        self._mark(base, json.dumps(batches))
+        """Folds the batches committed when it starts into a new base, which counts from its marker on. Its name.
+
+        One that is committed meanwhile is neither in the base's sums nor in its list, and counts beside it. One
+        compaction at a time: a second one of the same number fails at its marker.
+        """
+        marks = self._marks()
+        base = f"base-{len(_bases(marks)):06d}"
+        self._sums(marks).write.mode("overwrite").parquet(f"{self.path}/{base}")
+        self._mark(base, json.dumps(self._counted(marks)))
         return base
+
+
+def _bases(marks: list[str]) -> list[str]:
+    return [m for m in marks if m.startswith("base-")]

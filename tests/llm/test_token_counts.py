@@ -63,6 +63,24 @@ def test_compaction(spark, rollup):
     assert rollup.committed() == ["n0", "n1", "n2", "n3", "n4"]
 
 
+def test_commit_during_compaction(spark, rollup, monkeypatch):
+    """A batch that is committed while others are folded counts once."""
+    rollup.commit("a", changes(spark, ("insert", "s", "en", "v", 1, None)))
+    sums, other = Rollup._sums, Rollup(spark, rollup.path)
+
+    def slow(self, marks):
+        if self is rollup:
+            other.commit("b", changes(spark, ("insert", "s", "en", "v", 1, None)))
+        return sums(self, marks)
+
+    monkeypatch.setattr(Rollup, "_sums", slow)
+    rollup.compact()
+    monkeypatch.setattr(Rollup, "_sums", sums)
+    assert totals(rollup) == [("s", "en", "v", 2, 2)] and rollup.committed() == ["a", "b"]
+    rollup.compact()
+    assert totals(rollup) == [("s", "en", "v", 2, 2)]
+
+
 def test_wrong(spark, rollup):
     with pytest.raises(ValueError):
         rollup.commit("../x", changes(spark))
