@@ -1,9 +1,9 @@
 """Line dedup by overlapping windows of three consecutive lines, in DataFrame functions only.
 
-Every window is hashed (128 bits); a window found at several places stays at the first one, by (doc_id, text key,
-position), and its later places are covered. A document loses the lines that any covered window holds: covered positions
-are merged and the text is put together from the gaps between them. Each removed line stands, with its neighbours of the
-window, at an earlier place, so no line's content is lost.
+Every window is hashed (128 bits), blank ones too. A window found at several places stays at the first one, by (doc_id,
+text key, position): all three lines of that place are kept. Its later places are covered. A document loses the lines
+that its covered windows hold, less those of the first places kept in it; the lines left are put together from the gaps
+between the positions lost. So each repeated window is still there as it was, and no line's content is lost.
 """
 
 from __future__ import annotations
@@ -24,48 +24,53 @@ def place_columns(docs: DataFrame, text: str = "text") -> list[Column]:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(did, tk, pos, h1, h2): a row for each window of three lines, blank windows left out."""
+    """(did, tk, pos, h1, h2): a row for each window of three lines."""
     lines = docs.select(*place_columns(docs), F.split("text", "\n").alias("lines")).where(F.size("lines") >= WINDOW)
     hashed = F.expr(
         """inline(transform(sequence(0, size(lines) - 3), i -> struct(i AS pos,
-             xxhash64(lines[i], lines[i + 1], lines[i + 2]) AS h1, xxhash64(lines[i + 2], lines[i + 1], lines[i], 1) AS h2,
-             trim(concat(lines[i], lines[i + 1], lines[i + 2])) = '' AS blank)))"""
+             xxhash64(lines[i], lines[i + 1], lines[i + 2]) AS h1, xxhash64(lines[i + 2], lines[i + 1], lines[i], 1) AS h2)))"""
     )
-    return lines.select("did", "tk", hashed).where("NOT blank").drop("blank")
+    return lines.select("did", "tk", hashed)
 
 
-def later(found: DataFrame) -> DataFrame:
-    """(did, tk, starts): sorted positions of the windows of a document that stand at an earlier place too."""
+#: Positions of the three lines of windows.
+LINES = "flatten(transform({starts}, p -> array(p, p + 1, p + 2)))"
+
+
+def lost(found: DataFrame) -> DataFrame:
+    """(did, tk, gone): sorted positions of the lines that a document loses; documents without any are left out."""
     first = F.min(F.struct("did", "tk", "pos")).alias("first")
     repeated = written(found.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"), "line-windows")
-    met = found.join(repeated, ["h1", "h2"]).where(F.struct("did", "tk", "pos") > F.col("first"))
-    return met.groupBy("did", "tk").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
+    met = found.join(repeated, ["h1", "h2"]).select("did", "tk", "pos", (F.struct("did", "tk", "pos") == F.col("first")).alias("kept"))
+    places = lambda kept: F.collect_set(F.when(F.col("kept") == kept, F.col("pos")))
+    starts = met.groupBy("did", "tk").agg(places(False).alias("covered"), places(True).alias("stays"))
+    gone = F.expr(f"array_sort(array_except({LINES.format(starts='covered')}, {LINES.format(starts='stays')}))")
+    return starts.select("did", "tk", gone.alias("gone")).where(F.size("gone") > 0)
 
 
-#: Lines before, between and after the covered windows.
-KEPT = """flatten(transform(sequence(0, size(starts)), j -> slice(lines,
-    CASE WHEN j = 0 THEN 1 ELSE starts[j - 1] + 4 END,
-    greatest(0, CASE WHEN j = size(starts) THEN size(lines) ELSE starts[j] END - CASE WHEN j = 0 THEN 0 ELSE starts[j - 1] + 3 END))))"""
+#: The lines before, between and after the positions lost.
+KEPT = """flatten(transform(sequence(0, size(gone)), j -> slice(lines,
+    CASE WHEN j = 0 THEN 1 ELSE gone[j - 1] + 2 END,
+    CASE WHEN j = size(gone) THEN size(lines) ELSE gone[j] END - CASE WHEN j = 0 THEN 0 ELSE gone[j - 1] + 1 END)))"""
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) with text less its repeated lines, and n_lines and n_removed (long).
 
     A null text stays null (0 lines); a text of fewer than three lines stays as it is; a text of which all lines go is
-    empty. Rows with the same doc_id and text count as one place and get the same result; a null doc_id comes after all
+    empty. Of a window that follows on itself (four equal lines, or more) the first three lines stay. Rows with the same doc_id and text count as one place and get the same result; a null doc_id comes after all
     others. Columns of docs named n_lines or n_removed are replaced; others stay. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    found = later(windows(docs))
+    found = lost(windows(docs))
     # The rest is packed, so that no other column of docs can clash with ours.
     rows = docs.select(*place_columns(docs), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     joined = rows.join(found, ["did", "tk"], "left").withColumn("lines", F.split("row.text", "\n"))
-    kept = F.when(F.col("starts").isNull(), F.col("row.text")).otherwise(F.array_join(F.expr(KEPT), "\n"))
-    n_kept = F.when(F.col("starts").isNull(), F.size("lines")).otherwise(F.size(F.expr(KEPT)))
-    total = F.coalesce(F.size("lines"), F.lit(0))
+    unchanged = F.col("gone").isNull()
+    kept = F.when(unchanged, F.col("row.text")).otherwise(F.array_join(F.expr(KEPT), "\n"))
+    total = F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines"))
+    removed = F.when(unchanged, 0).otherwise(F.size("gone"))
     out = [kept.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    total = F.when(F.col("row.text").isNull(), 0).otherwise(total)
-    removed = F.when(F.col("starts").isNull(), 0).otherwise(total - n_kept)
     return joined.select(*out, total.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
 
 
@@ -80,12 +85,14 @@ lines AS (
 windows AS (
   SELECT a.did, a.tk, a.pos, a.line AS l1, b.line AS l2, c.line AS l3
   FROM lines a JOIN lines b ON b.did = a.did AND b.tk = a.tk AND b.pos = a.pos + 1
-               JOIN lines c ON c.did = a.did AND c.tk = a.tk AND c.pos = a.pos + 2
-  WHERE trim(a.line || b.line || c.line) <> ''),
+               JOIN lines c ON c.did = a.did AND c.tk = a.tk AND c.pos = a.pos + 2),
 ranked AS (
-  SELECT did, tk, pos, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY did, tk, pos) AS k FROM windows),
+  SELECT did, tk, pos, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY did, tk, pos) AS k,
+         count(*) OVER (PARTITION BY l1, l2, l3) AS n FROM windows),
+placed AS (
+  SELECT did, tk, pos + step AS pos, k FROM ranked, (VALUES (0), (1), (2)) AS s(step) WHERE n > 1),
 covered AS (
-  SELECT DISTINCT did, tk, pos + step AS pos FROM ranked, (VALUES (0), (1), (2)) AS s(step) WHERE k > 1),
+  SELECT did, tk, pos FROM placed WHERE k > 1 EXCEPT SELECT did, tk, pos FROM placed WHERE k = 1),
 kept AS (
   SELECT l.did, l.tk, string_agg(CASE WHEN c.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS text,
          count(*) AS n_lines, count(c.pos) AS n_removed
