@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsight.llm.common import BATCH_ROWS, map_arrow, on_workers, text_or_empty, written
+from crawlsight.sources.workers import slices
 
-#: Labelled rows that are fitted, at most: the first by a hash of doc_id.
+#: Labelled documents that are fitted, at most: the first by a hash of doc_id. Copies of a row count once.
 SAMPLE = 20_000
 #: Partitions that these rows' statistics and sums are made in.
 PARTS = 8
@@ -110,8 +111,8 @@ class Model:
 
 def statistics_partition(batches):
     for batch in batches:
-        stats = [statistics(t) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stats, pa.list_(pa.float64()))], names=["fold", "quality", "stats"])
+        stats = [statistics(t) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), pa.array(stats, pa.list_(pa.float64()))], names=["doc_id", "quality", "tk", "stats"])
 
 
 def _rows(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,13 +174,18 @@ def solve(sums: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(fold, quality, stats) of the sampled labelled rows that aren't held out."""
+    """(fold, quality, stats) of at most ``sample`` labelled documents that aren't held out, the first by a hash of doc_id.
+
+    Rows of one doc_id, label and text are one document, so copies of a labelled row, however many, don't count again.
+    """
     known = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out()).distinct()
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    fold = (F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % FOLDS).alias("fold")
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(known), "doc_id")
-    stats = map_arrow(rows.select(fold, F.col("quality").cast("long").alias("quality"), "text"), statistics_partition, "fold long, quality long, stats array<double>")
-    return written(stats, "quality-rows")
+    single = rows.groupBy("doc_id", F.col("quality").cast("long").alias("quality"), F.xxhash64("text").alias("tk")).agg(F.first("text").alias("text"))
+    stats = map_arrow(single, statistics_partition, "doc_id long, quality long, tk long, stats array<double>")
+    chosen = stats.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "tk").limit(sample)
+    fold = F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string"))) % FOLDS
+    return written(chosen.select(fold.alias("fold"), "quality", "stats"), "quality-rows")
 
 
 def held_out():
@@ -189,8 +195,8 @@ def held_out():
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from labels (doc_id, quality 0 or 1) of docs (doc_id, text) that aren't held out.
 
-    Rows with another or no quality, or a null doc_id, teach nothing; a document with both labels counts once for each;
-    null texts are empty. Without any row all scores are about one half.
+    Rows with another or no quality, or a null doc_id, teach nothing; a document with both labels counts once for each,
+    a repeated row once, a doc_id with several texts once for each; null texts are empty. Without any row all scores are about one half.
     """
     rows = labelled(docs, labels, sample).coalesce(PARTS)
     sums = np.array([r.sums for r in map_arrow(rows, moments_partition, "sums array<double>").collect()]).reshape(-1, 2 * STATISTICS + 1).sum(axis=0)
@@ -211,27 +217,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def score_partition(series, model: Model):
-    import pandas as pd
-
-    for texts in series:
-        yield pd.Series(model.scores(texts.tolist()))
+def score_arrays(arrays, model: Model):
+    for texts in arrays:
+        parts = [model.scores(part.column(0).to_pylist()) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), BATCH_ROWS)]
+        yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with the score of each whole text (null: empty), 0 to 1; a column of that name is replaced."""
     from collections.abc import Iterator
 
-    import pandas as pd
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    run = on_workers(score_partition, model)
+    run = on_workers(score_arrays, model)
 
-    def own(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return run(series)
+    def own(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return run(arrays)
 
-    own.__annotations__ = {"series": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(column, F.pandas_udf(own, "double")(text_or_empty()))
+    own.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(column, F.arrow_udf(own, "double")(text_or_empty()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -92,3 +92,54 @@ def test_kernel():
 def test_pooled():
     x, y = quality.pooled([(0, 1.0, 10), (1, 0.0, 10), (2, 5.0, 10), (3, 10.0, 10)])
     assert y.tolist() == [0.05, 0.05, 0.5, 0.5, 1.0, 1.0] and (np.diff(x) > 0).all()
+
+
+def test_sample_is_a_bound(spark, corpus):
+    """Copies of a labelled row are one document, and no more documents are fitted than asked for."""
+    rows, labels = corpus
+    copies = frame(spark, [(1, "one and the same text", None, None, 0)] * 3000 + rows)
+    assert quality.labelled(copies, labelled(spark, [(1, 1)]), 10).count() == 2
+    assert quality.labelled(copies, labelled(spark, labels), 10).count() == 10
+    texts = frame(spark, [(1, f"text {i}", None, None, 0) for i in range(300)])
+    assert quality.labelled(texts, labelled(spark, [(1, 1)]), 10).count() == 10
+
+
+def test_against_a_direct_fit(spark, corpus):
+    """Scores of the distributed fit, against a ridge solved on all rows at once and calibrated by hand."""
+    rows, labels = corpus
+    truth = dict(labels)
+    taught = sorted(i for i, _ in labels if zlib.crc32(str(i).encode()) % 5)
+    texts = {r[0]: r[1] for r in rows}
+    x, y = np.array([quality.statistics(texts[i]) for i in taught]), np.array([float(truth[i]) for i in taught])
+    scale = x.std(axis=0)
+    model = quality.Model(x.mean(axis=0), np.where(scale > 1e-6, scale, 1.0))
+    z = np.hstack([np.sqrt(2 / len(model.b)) * np.cos(np.clip((x - model.mean) / model.scale, -8, 8) @ model.w + model.b), np.ones((len(x), 1))])
+
+    def ridge(chosen):
+        """Least squares with the penalty as added rows."""
+        n, size = chosen.sum(), z.shape[1]
+        penalty = np.append(np.full(size - 1, quality.RIDGE * n / size + 1e-6), 1e-9)
+        return np.linalg.lstsq(np.vstack([z[chosen], np.diag(np.sqrt(penalty))]), np.append(y[chosen], np.zeros(size)), rcond=None)[0]
+
+    fold = np.array([zlib.crc32(f"fold{i}".encode()) % quality.FOLDS for i in taught])
+    raw = np.zeros(len(x))
+    for k in range(quality.FOLDS):
+        raw[fold == k] = np.clip(z[fold == k] @ ridge(fold != k), -0.5, 1.5)
+    bins = np.floor((raw + 0.5) / 2 * quality.BINS).astype(int)
+    used = np.unique(bins)
+    sums = np.array([[y[bins == b].sum(), (bins == b).sum()] for b in used])
+    # Isotonic by its min-max formula: at each bin the largest, over starts, of the least mean, over ends.
+    mean = lambda a, b: sums[a : b + 1, 0].sum() / sums[a : b + 1, 1].sum()
+    steps = [max(min(mean(a, b) for b in range(i, len(used))) for a in range(i + 1)) for i in range(len(used))]
+    edges, levels = [], []
+    for level in sorted(set(np.round(steps, 12))):
+        own = [used[i] for i in range(len(used)) if round(steps[i], 12) == level]
+        edges += [(own[0] + 0.25) / quality.BINS * 2 - 0.5, (own[-1] + 0.75) / quality.BINS * 2 - 0.5]
+        levels += [level, level]
+    beta = ridge(np.ones(len(x), dtype=bool))
+    got = {r.doc_id: r.score for r in quality.classify(frame(spark, rows), labelled(spark, labels)).collect()}
+    stats = np.array([quality.statistics(texts[i]) for i in sorted(texts)])
+    own = np.clip(np.hstack([np.sqrt(2 / len(model.b)) * np.cos(np.clip((stats - model.mean) / model.scale, -8, 8) @ model.w + model.b), np.ones((len(stats), 1))]) @ beta, -0.5, 1.5)
+    want = (1 - quality.ORDER) * np.interp(own, edges, levels) + quality.ORDER * (own + 0.5) / 2
+    gaps = np.abs(np.array([got[i] for i in sorted(texts)]) - np.clip(want, 0, 1))
+    assert (gaps < 1e-6).mean() > 0.99 and np.median(gaps) < 1e-9
