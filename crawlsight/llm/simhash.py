@@ -1,11 +1,14 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by multi-index hashing over distinct fingerprints.
 
-A fingerprint has two segments of 32 bits. Two fingerprints at a distance of 2 at most differ by one bit at most in some
-segment, or by two in one. Each enumerates the ball of radius 1 within either segment, the other segment left as it is:
-65 keys, itself and its 64 one-bit variants. Any two at a distance of 2 at most meet under some key, and all that meet
-under a key are within 2 of each other, so a key has 65 distinct fingerprints at most and neighbours in its sorted list
-are links that keep the list connected. Looking up a bare segment instead would give all pairs of a group whose segment
-is common. Distances are verified on the whole fingerprints.
+A fingerprint has two segments of 32 bits, and a table for each holds every distinct fingerprint by that segment. Two
+fingerprints at a distance of 2 at most either agree in the second segment, or differ by one bit at most in the first
+one. So a fingerprint looks up its own second segment, and the ball of radius 1 round its first one; of two neighbours in
+a ball the one with the 0 bit looks the other up, so bits are only set. Matches are verified on the whole fingerprints.
+
+A segment that more than COMMON distinct fingerprints share isn't looked up, as that would give all pairs of them.
+Fingerprints with such a segment in reach enumerate the ball of radius 1 round the whole fingerprint instead, both sides
+of a link alike: two at a distance of 2 at most meet under some of these keys, those that meet are within 2 of each
+other, so a key has 65 fingerprints at most, and neighbours in its sorted list keep the list connected.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from crawlsight.llm.line_dedup import LAST_ID
 SHINGLE = 3
 SEED = 42
 DISTANCE = 2
+#: Distinct fingerprints of one segment up to which they are looked up by it.
+COMMON = 64
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -63,12 +68,26 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> Data
     return map_arrow(identified(docs), fingerprint_partition, "doc_id long, tk long, fp long", size, seed)
 
 
-def links(prints: DataFrame) -> DataFrame:
+#: Keys of both segments' tables: the first segment's bits, and the second one's with bit 32 set.
+SEGMENTS = "array(shiftrightunsigned(fp, 32), (fp & 4294967295L) | 4294967296L)"
+#: Of the first segment, all that differ by one bit which is set there and not here.
+BALL = "transform(filter(sequence(0, 31), i -> (fp & shiftleft(1L, i + 32)) = 0), i -> shiftrightunsigned(fp, 32) | shiftleft(1L, i))"
+
+
+def links(prints: DataFrame, common: int = COMMON) -> DataFrame:
     """(a, b): links between the distinct fingerprints ``fp``, enough to connect all that are within DISTANCE bits."""
-    keys = prints.select("fp", F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))").alias("key"))
+    tables = prints.select("fp", F.expr(f"explode({SEGMENTS})").alias("key"))
+    probes = prints.select("fp", F.expr(f"posexplode(concat({SEGMENTS}, {BALL}))").alias("place", "key"))
+    sizes = written(tables.groupBy("key").agg(F.count("*").alias("n")), "simhash-sizes")
+    # A fingerprint's own segments (the first two keys) are looked up only where another one has them too.
+    found = written(probes.join(sizes, "key").where("place > 1 OR n > 1").drop("place"), "simhash-probes")
+    near = lambda a, b: (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE) & (F.col(a) != F.col(b))
+    rare = found.where(F.col("n") <= common).select(F.col("fp").alias("a"), "key").join(tables.withColumnRenamed("fp", "b"), "key")
+    crowded = found.where(F.col("n") > common).select("fp").distinct()
+    keys = crowded.select("fp", F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i))))").alias("key"))
     before = F.lag("fp").over(Window.partitionBy("key").orderBy("fp"))
     met = keys.select(before.alias("a"), F.col("fp").alias("b"))
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
+    return rare.where(near("a", "b")).select("a", "b").union(met.where(near("a", "b")))
 
 
 def classified(docs: DataFrame, size: int, seed: int) -> tuple[DataFrame, DataFrame]:
