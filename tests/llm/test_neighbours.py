@@ -1,6 +1,9 @@
+import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from crawlsight.llm import neighbours
@@ -30,7 +33,7 @@ def test_recall(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 24))
     x = np.vstack([centres[rng.integers(20, size=900)] + 0.4 * rng.normal(size=(900, 24)), rng.normal(size=(600, 24))]) * rng.uniform(0.5, 2, size=(1500, 1))
-    got = found(neighbours.nearest(table(spark, x), F.col("vec_id") % 20 == 0, block=400, queries=30))
+    got = found(neighbours.nearest(table(spark, x), F.col("vec_id") % 20 == 0, block=400))
     vectors = dict(enumerate(x))
     assert set(got) == set(range(0, 1500, 20))
     hits = sum(len({v for _, v, _ in got[q]} & set(brute(vectors, q, 20))) for q in got)
@@ -62,11 +65,41 @@ def test_few_and_repeated(spark):
     assert neighbours.nearest(table(spark, [[1, 2], [3, 4]], [None, 0]), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("scales", [[1e-200], [1e40], [1e200], [5e-324 * 2**40], [1e300], [1e-200, 1.0], [1e-160, 1e200, 1e-3]])
+def test_any_finite_size(spark, scales):
+    """Against exact arithmetic, where squares or products leave the doubles' range."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 6)) * np.array([scales[i % len(scales)] for i in range(400)])[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = found(neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=150))
+    whole = [[Fraction(float(c)) for c in v] for v in x]
+    assert set(got) == set(range(0, 400, 20))
+    hits = 0
+    for q, rows in got.items():
+        exact = {i: sum(a * b for a, b in zip(v, whole[q], strict=True)) for i, v in enumerate(whole) if i != q}
+        best = sorted(exact, key=lambda i: (-exact[i], i))[:20]
+        hits += len({v for _, v, _ in rows} & set(best))
+        assert len(rows) == 20 and not any(math.isnan(s) for _, _, s in rows)
+        gaps = [exact[a] - exact[b] for (_, a, _), (_, b, _) in itertools.pairwise(rows)]
+        assert all(g >= -abs(exact[rows[0][1]]) * Fraction(1, 10**12) for g in gaps)
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_blocks(spark):
+    """A task a core for some thousand vectors, blocks of bounded bytes beyond; the same results whatever the blocks."""
+    count = neighbours.block_count
+    assert [count(n, 64, 8) for n in (0, 1, 1024, 5000, 9000, 10**6)] == [1, 1, 1, 5, 8, 31]
+    assert count(10**6, 4096, 8) * neighbours.BLOCK_BYTES >= 10**6 * 4096 * 8
+    x = np.random.default_rng(5).normal(size=(3000, 4))
+    a, b = (found(neighbours.nearest(table(spark, x), F.col("vec_id") % 100 == 0, block=n)) for n in (3000, 500))
+    assert set(a) == set(b) == set(range(0, 3000, 100)) and np.mean([a[q] == b[q] for q in a]) > 0.8
+
+
 def test_collisions_decide():
     """A vector is verified once enough windows hold it: with none at all, the search ends by opening everything."""
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8))
-    block = neighbours.Block(np.arange(300), x, np.linalg.norm(x, axis=1).max())
+    block = neighbours.Block(np.arange(300), x, np.log2(np.linalg.norm(x, axis=1).max()))
     low, high = block.windows(x[:1])
     assert (np.diff(low[0], axis=0) <= 0).all() and (np.diff(high[0], axis=0) >= 0).all() and (low[0][0] == high[0][0]).all()
-    assert len(block.search(0, x[0], low[0], high[0], 500)) == 299
+    assert len(block.search(0, x[0], 0, low[0], high[0], 500)) == 299
