@@ -13,11 +13,18 @@ HTML_MARKS = ("<!doctype html", "<html", "<head", "<body")
 SNIFFED = 2048
 
 
+#: White space, as at the ends of values that files and headers hold.
+BLANKS = " \t\n\v\f\r\x85\xa0"
 _TOKEN = r"[!#$%&'*+\-.^_`|~0-9A-Za-z]+"
 #: A media type and its parameters; one ; too many at the end is ignored.
 _MEDIA = rf'''^\s*{_TOKEN}(?:/{_TOKEN})?\s*(?:;\s*{_TOKEN}\s*=\s*(?:{_TOKEN}|"(?:[^"\\]++|\\.)*+")\s*)*+;?\s*$'''
 
 
+def stripped(v: Column) -> Column:
+    """v without white space at its ends."""
+    return F.btrim(v, F.lit(BLANKS))
+
+
 def readable(body: Column) -> Column:
     """Bytes as text; those that aren't UTF-8 as replacement characters."""
     return F.make_valid_utf8(body.cast("string"))
@@ -30,7 +37,7 @@ def clean(v: Column) -> Column:
 
 def media_type(content_type: Column) -> Column:
     """Type of a Content-Type header in lower case; null if it can't be read."""
-    return F.when(content_type.rlike(_MEDIA), F.lower(F.trim(F.split(content_type, ";")[0])))
+    return F.when(content_type.rlike(_MEDIA), F.lower(stripped(F.split(content_type, ";")[0])))
 
 
 def is_html(content_type: Column, body: Column) -> Column:
@@ -57,11 +64,11 @@ def noindex(values: Column, bot: str) -> Column:
         start = F.struct(F.lit("").alias("scope"), F.lit(False).alias("hit"))
 
         def fold(acc: Column, part: Column) -> Column:
-            p = F.lower(F.trim(part))
+            p = F.lower(stripped(part))
             name = F.regexp_extract(p, "^([^:]*):", 1)
-            scoped = F.contains(p, F.lit(":")) & ~F.trim(name).isin(*DIRECTIVES)
-            scope = F.when(scoped, F.trim(name)).otherwise(acc["scope"])
-            said = F.when(scoped, F.trim(F.regexp_replace(p, "^[^:]*:", ""))).otherwise(p)
+            scoped = F.contains(p, F.lit(":")) & ~stripped(name).isin(*DIRECTIVES)
+            scope = F.when(scoped, stripped(name)).otherwise(acc["scope"])
+            said = F.when(scoped, stripped(F.regexp_replace(p, "^[^:]*:", ""))).otherwise(p)
             hit = acc["hit"] | (((scope == "") | (scope == bot)) & said.isin("noindex", "none"))
             return F.struct(scope.alias("scope"), hit.alias("hit"))
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlsight.functions.text import stripped
+
 # Parts of a URL whose other characters are percent-encoded already. Loops are possessive: Java matches these without
 # recursion, so that a URL of any length fits on the stack.
 _ESCAPE = "%[0-9A-Fa-f]{2}"
@@ -91,7 +93,7 @@ def normalize(v: Column) -> Column:
         head = F.regexp_extract(e, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
         return F.when(~e.rlike(_PARSABLE), None).when(head != "", F.concat(_normal_head(head), rest)).otherwise(other)
 
-    return F.coalesce(let(encode(F.trim(v)), of), v)
+    return F.coalesce(let(encode(stripped(v)), of), v)
 
 
 def _normal_head(head: Column) -> Column:
@@ -184,7 +186,7 @@ def under(path: Column, prefix: Column) -> Column:
 
 def site_id(v: Column) -> Column:
     """A site's URL without scheme, query, fragment and trailing /, its host in lower case."""
-    v = F.regexp_replace(F.trim(v), "(?i)^https?://", "")
+    v = F.regexp_replace(stripped(v), "(?i)^https?://", "")
     v = F.regexp_replace(F.regexp_replace(v, r"(?s)[?#].*$", ""), "/+$", "")
     return F.concat(F.lower(F.regexp_extract(v, "^([^/]*)", 1)), F.regexp_replace(v, "^[^/]*", ""))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsight.functions import urls
+from crawlsight.functions.text import stripped
 from crawlsight.operators.catalogue import text
 
 PLACE = ("sm_order", "entry_pos")
@@ -38,7 +39,7 @@ def sections_of(sites: DataFrame) -> DataFrame:
 
 
 def prefix(site_url: Column) -> Column:
-    return F.regexp_replace(urls.path_query(F.regexp_replace(F.trim(site_url), "/+$", ""))[0], "/+$", "")
+    return F.regexp_replace(urls.path_query(F.regexp_replace(stripped(site_url), "/+$", ""))[0], "/+$", "")
 
 
 def in_sections(entries: DataFrame, sites: DataFrame) -> DataFrame:

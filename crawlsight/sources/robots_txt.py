@@ -20,7 +20,7 @@ SITEMAP = ("sitemap", "site-map")
 
 
 def product_token(user_agent: Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(user_agent), r"^[^/ \t;(]*", 0))
+    return F.lower(F.regexp_extract(texts.stripped(user_agent), r"^[^/ \t;(]*", 0))
 
 
 def token_of(user_agent: str) -> str:

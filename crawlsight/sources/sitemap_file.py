@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlsight.functions.text import BLANKS
 from crawlsight.sources.workers import map_arrow
 
 # Limits of the protocol. Fixed values.
@@ -26,7 +27,6 @@ MAX_NEWS = 1_000
 
 SNIFFED = 2_048
 LONGEST_LINE = 1 << 20
-BLANKS = " \t\n\v\f\r\x85\xa0"
 BATCH = 16
 
 ENTRY = (
@@ -179,7 +179,7 @@ def read_xml(doc: dict, data: bytes) -> None:
             elif doc["root"] or e.code != expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS]:
                 text = "unexpected EOF" if e.code == expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS] else expat.ErrorString(e.code)
                 before = data[: parser.ErrorByteIndex + 1]
-                loose = re.search(rb"&[^;\s<]*[^;<]?$", before[-64:]) is not None
+                loose = re.search(rb"&[^;\s<]*[^;]?$", before[-64:]) is not None
                 doc["xml_error"] = f"line {e.lineno}: {text}" + _HINT * (loose or "entity" in text)
     doc["kind"] = doc["kind"] or "not-sitemap"
 
