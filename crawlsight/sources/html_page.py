@@ -6,8 +6,10 @@ A small tokenizer reads tags, comments and raw text as browsers do; bodies are a
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,54 +91,77 @@ def tokens(text: str) -> Iterator[tuple]:
                 at = close.start() if close else n
 
 
-def analyze(body: bytes | None, bot: str = "") -> dict:
-    """Signals of a page. The title is that of the first title element, the canonicals those before the body."""
-    bot = bot.strip().lower()
-    title, heading, seen, robots, canonicals = [], [], [], [], []
-    in_title = in_heading = title_done = heading_done = in_head = body_begun = False
-    skipping = 0
-    for token in tokens(bytes(body or b"").decode("utf-8", "replace")):
-        kind = token[0]
-        if kind == "text":
-            if skipping:
-                continue
-            if in_title:
-                title.append(token[1])
-                continue
-            if in_heading:
-                heading.append(token[1] + " ")
-            if not in_head:
-                seen.append(token[1])
+class Event(NamedTuple):
+    """A piece of a page outside the skipped elements, and whether it is in the head."""
+
+    kind: str  # text, start or end
+    what: str  # the text, or the element's name
+    attributes: dict[str, str]
+    in_head: bool
+
+
+#: What opens and closes the head.
+HEAD = {("start", "head"): True, ("end", "head"): False, ("start", "body"): False}
+
+
+def events(text: str) -> list[Event]:
+    """The page as a list. Elements of SKIPPED hide all but end tags until they are closed."""
+    out, hidden, in_head = [], 0, False
+    for kind, what, *more in tokens(text):
+        if kind != "text" and what in SKIPPED:
+            hidden = max(0, hidden - 1) if kind == "end" else hidden + (not more[1])
+            continue
+        if hidden and kind != "end":
             continue
-        name = token[1]
-        if name in SKIPPED:
-            skipping = max(0, skipping + (not token[3] if kind == "start" else -1))
-        elif kind == "end":
-            if name == "head":
-                in_head = False
-            elif name == "title" and in_title:
-                in_title, title_done = False, True
-            elif name == "h1" and in_heading:
-                in_heading, heading_done = False, True
-            seen.append(" ")
-        elif not skipping:
-            attributes = token[2]
-            if name == "head":
-                in_head = True
-            elif name == "body":
-                in_head, body_begun = False, True
-            elif name == "title" and not title_done:
-                in_title = True
-                title.clear()
-            elif name == "h1" and not heading_done:
-                in_heading = True
-            elif name == "meta" and attributes.get("name", "").lower() in {"robots", bot} - {""}:
-                robots.append(attributes.get("content", ""))
-            elif name == "link" and not body_begun and "canonical" in attributes.get("rel", "").lower().split():
-                canonicals.append(attributes.get("href", "").strip())
-            elif name in BLOCKS:
-                seen.append(" ")
-    return {"title": clean("".join(title)), "h1": clean("".join(heading)), "text_length": len(clean("".join(seen))), "meta_robots": robots, "canonicals": canonicals}
+        in_head = HEAD.get((kind, what), in_head)
+        out.append(Event(kind, what, more[0] if kind == "start" else {}, in_head))
+    return out
+
+
+def element(page: list[Event], name: str) -> slice:
+    """The content of the first element of that name, to its end tag or the end of the page; empty without one."""
+    marks = [(e.kind, e.what) for e in page]
+    if ("start", name) not in marks:
+        return slice(0, 0)
+    start = marks.index(("start", name))
+    return slice(start + 1, marks.index(("end", name), start) if ("end", name) in marks[start:] else len(marks))
+
+
+def texts(page: list[Event]) -> list[str]:
+    return [e.what for e in page if e.kind == "text"]
+
+
+def visible(page: list[Event]) -> str:
+    """Text outside the head; blocks and all end tags separate words."""
+    separates = lambda e: e.kind == "end" or e.kind == "start" and e.what in BLOCKS
+    return "".join(" " if separates(e) else e.what for e in page if separates(e) or e.kind == "text" and not e.in_head)
+
+
+def robots(page: list[Event], bot: str) -> list[str]:
+    """Contents of the meta elements for all robots or for the bot."""
+    metas = [e.attributes for e in page if (e.kind, e.what) == ("start", "meta")]
+    return [m.get("content", "") for m in metas if m.get("name", "").lower() in {"robots", bot.strip().lower()} - {""}]
+
+
+def canonicals(page: list[Event]) -> list[str]:
+    """Addresses of the canonical links before the body."""
+    ahead = itertools.takewhile(lambda e: (e.kind, e.what) != ("start", "body"), page)
+    links = [e.attributes for e in ahead if (e.kind, e.what) == ("start", "link")]
+    return [x.get("href", "").strip() for x in links if "canonical" in x.get("rel", "").lower().split()]
+
+
+def analyze(body: bytes | None, bot: str = "") -> dict:
+    """Signals of a page: title and h1 are those of the first such elements, and a title's text is not visible."""
+    page = events(bytes(body or b"").decode("utf-8", "replace"))
+    title = element(page, "title")
+    rest = page[: title.start] + page[title.stop :]
+    return {
+        "title": clean("".join(texts(page[title]))),
+        "h1": clean(" ".join(texts(rest[element(rest, "h1")]))),
+        "text_length": len(clean(visible(rest))),
+        "meta_robots": robots(page, bot),
+        "canonicals": canonicals(page),
+    }
 
 
 def analyze_partition(batches, bot: str):
