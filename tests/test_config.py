@@ -36,6 +36,11 @@ def test_errors(text):
         parse(text)
 
 
+def test_dump_is_read_back():
+    c = parse("sites: [{url: https://e.com, concurrency: 3}]\nhttp: {timeout: 1ms, headers: {X: y}}\nchecks: {hreflang: false, disable: [noindex], severity: {soft_404: notice}}\npoliteness: {delay: {min: 0, max: 1e-6}}\n")
+    assert parse(configs.dump(c)) == c and parse(configs.dump(Config())) == Config()
+
+
 def test_all_errors_are_told():
     with pytest.raises(ConfigError) as e:
         parse("http: {timeout: 0}\ncrawl: {concurrency: 0}")
