@@ -34,9 +34,10 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     if command == "run":
         parser.add_argument("sites", nargs="*", help="ids or URLs")
         parser.add_argument("--responses", help="captured responses (Parquet) instead of fetching")
-        parser.add_argument("--capture-to", help="where fetched responses are written; a fresh shared folder by default")
+        parser.add_argument("--capture-to", help="where fetched responses are written, and stay; in the work folder by default")
+        parser.add_argument("--work", help="folder of tables between stages, shared by all machines; spark.checkpoint.dir by default")
         parser.add_argument("--out", help="folder of the reports")
-        parser.add_argument("--format", help="formats, separated by commas")
+        parser.add_argument("--format", help=f"formats, separated by commas: {', '.join(configs.FORMATS)}")
         parser.add_argument("--fail-on", help="none, notice, warning or error")
         parser.add_argument("--no-crawl", action="store_true", help="robots.txt and sitemaps only")
         parser.add_argument("--max-urls", type=int)
@@ -56,42 +57,46 @@ def load(path: str | None) -> Config:
     return configs.load(found) if found else Config()
 
 
+def changed(config: Config, args: argparse.Namespace) -> Config:
+    """The configuration with what the command line says in its place, checked again."""
+    given = {
+        "report": {"out": args.out, "fail_on": args.fail_on, "formats": args.format and args.format.split(",")},
+        "crawl": {"enabled": False if args.no_crawl else None, "max_urls": args.max_urls, "concurrency": args.concurrency},
+    }
+    for part, values in given.items():
+        for name, value in values.items():
+            if value not in (None, ""):
+                setattr(getattr(config, part), name, value)
+    if errors := config.errors():
+        raise ConfigError("\n".join(errors))
+    return config
+
+
 def run(args: argparse.Namespace, config: Config) -> int:
     from crawlsight import session, storage
     from crawlsight.plans import audit, reports
     from crawlsight.sources import live, schemas
 
-    for name, value in (("out", args.out), ("fail_on", args.fail_on), ("formats", args.format and args.format.split(","))):
-        if value:
-            setattr(config.report, name, value)
-    config.crawl.enabled = config.crawl.enabled and not args.no_crawl
-    config.crawl.max_urls = config.crawl.max_urls if args.max_urls is None else args.max_urls
-    config.crawl.concurrency = args.concurrency or config.crawl.concurrency
-    if errors := config.errors():
-        raise ConfigError("\n".join(errors))
+    config = changed(config, args)
     chosen, started = config.select(args.sites), datetime.now(UTC)
     spark = session.build()
-    if args.responses:
-        responses = schemas.responses(spark, args.responses)
-    else:
-        to = args.capture_to or storage.shared_path(spark, "responses")
-        reader = live.SiteCapture
-        spark.dataSource.register(reader)
-        text = Path(args.config or configs.find_default() or "").read_text() if (args.config or configs.find_default()) else ""
-        fetched = live.capture(spark, text, [s.url for s in chosen])
-        fetched.write.mode("overwrite").partitionBy("site_id").parquet(to)
-        responses = schemas.responses(spark, to)
-    sites = schemas.site_rows(spark, [s.url for s in chosen])
-    everything = schemas.site_rows(spark, [s.url for s in config.sites]) if config.sites else None
-    found = audit.audit(responses, sites, config, started, everything)
-    folder = reports.run_dir(config.report.out, started)
-    files, errors = reports.write(found, folder, config.report.formats, config.report.csv_bom, config.report.fail_on)
-    reports.mark_latest(config.report.out, folder)
-    print(reports.console(found))
-    print("\n".join(map(str, files)))
-    for error in errors:
-        print(f"error: {error}", file=sys.stderr)
-    return FAILED if errors else audit.exit_code(found)
+    with storage.work_folder(spark, args.work):
+        at = args.responses or args.capture_to or storage.shared_path(spark, "responses")
+        if not args.responses:
+            fetched = live.capture(spark, config, [s.url for s in chosen])
+            fetched.write.mode("overwrite").partitionBy("site_id").parquet(at)
+        sites = schemas.site_rows(spark, [s.url for s in chosen])
+        everything = schemas.site_rows(spark, [s.url for s in config.sites]) if config.sites else None
+        found = audit.audit(schemas.responses(spark, at), sites, config, started, everything)
+        found.urls, found.sites, found.excluded = (storage.written(x, "report") for x in (found.urls, found.sites, found.excluded))
+        folder = reports.run_dir(config.report.out, started)
+        files, errors = reports.write(found, folder, config.report.formats, config.report.csv_bom, config.report.fail_on)
+        reports.mark_latest(config.report.out, folder)
+        print(reports.console(found))
+        print("\n".join(map(str, files)))
+        for error in errors:
+            print(f"error: {error}", file=sys.stderr)
+        return FAILED if errors else audit.exit_code(found)
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -27,12 +27,21 @@ from pyspark.sql.types import StructType
 
 from crawlsight.operators.tree import walk
 from crawlsight.sources import robots_txt, sitemap_file
-from crawlsight.sources.config import Config, Range, Site
+from crawlsight.sources.config import Config, Range, Site, dump
 from crawlsight.sources.schemas import RESPONSES
 
 HOME_BYTES = 1 << 20
 PAGE_BYTES = 4 << 20
-ACCEPT = "text/html,application/xhtml+xml,application/xml;q=0.9,image/avif,image/webp,image/apng,*/*;q=0.8"
+#: What a browser sends when a person opens a page. Fixed values.
+NAVIGATION = {
+    "Upgrade-Insecure-Requests": "1",
+    "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,image/avif,image/webp,image/apng,*/*;q=0.8",
+    "Sec-Fetch-Site": "none",
+    "Sec-Fetch-Mode": "navigate",
+    "Sec-Fetch-User": "?1",
+    "Sec-Fetch-Dest": "document",
+    "Priority": "u=0, i",
+}
 
 
 def encoded(url: str) -> str:
@@ -106,20 +115,19 @@ class Client:
     cookies: http.cookiejar.CookieJar = field(default_factory=http.cookiejar.CookieJar)
 
     def headers(self, url: str) -> dict[str, str]:
-        h, out = self.config.http, {}
-        if h.browser_headers:
-            if h.sec_ch_ua:
-                out |= {"Sec-Ch-Ua": h.sec_ch_ua, "Sec-Ch-Ua-Mobile": "?0"}
-            if h.sec_ch_ua_platform:
-                out["Sec-Ch-Ua-Platform"] = h.sec_ch_ua_platform
-            out |= {"Upgrade-Insecure-Requests": "1", "Accept": ACCEPT, "Sec-Fetch-Site": "none", "Sec-Fetch-Mode": "navigate", "Sec-Fetch-User": "?1", "Sec-Fetch-Dest": "document", "Priority": "u=0, i"}
-        out |= {k: v for k, v in (("User-Agent", h.user_agent), ("Accept-Language", h.accept_language)) if v}
-        name, colon, value = h.audit_header.partition(":")
-        if colon and name.strip():
-            out[name.strip()] = value.strip()
-        if bare_host(urlsplit(url).hostname) == bare_host(self.site_host):
-            out |= h.headers
-        return out | {"Accept-Encoding": "gzip"}
+        """Of several values for a name the last one counts; empty ones are left out."""
+        h = self.config.http
+        name, _, value = (x.strip() for x in h.audit_header.partition(":"))
+        own_host = bare_host(urlsplit(url).hostname) == bare_host(self.site_host)
+        layers = [
+            {"Sec-Ch-Ua": h.sec_ch_ua, "Sec-Ch-Ua-Mobile": h.sec_ch_ua and "?0", "Sec-Ch-Ua-Platform": h.sec_ch_ua_platform} if h.browser_headers else {},
+            NAVIGATION if h.browser_headers else {},
+            {"User-Agent": h.user_agent, "Accept-Language": h.accept_language},
+            {name: value} if name else {},
+            h.headers if own_host else {},
+            {"Accept-Encoding": "gzip"},
+        ]
+        return {k: v for layer in layers for k, v in layer.items() if v}
 
     def opener(self, redirects, store: bool):
         jar = self.cookies
@@ -316,7 +324,7 @@ class SiteCapture(DataSource):
         return _SiteReader(config, config.select([s.strip() for s in chosen]), schema)
 
 
-def capture(spark: SparkSession, config_yaml: str, sites: list[str]) -> DataFrame:
-    """Captured responses of the sites. Write them before auditing: every read fetches again."""
+def capture(spark: SparkSession, config: Config, sites: list[str]) -> DataFrame:
+    """Captured responses of the sites, fetched as config says. Write them before auditing: every read fetches again."""
     spark.dataSource.register(SiteCapture)
-    return spark.read.format("site_capture").option("config", config_yaml).option("sites", ",".join(sites)).load()
+    return spark.read.format("site_capture").option("config", dump(config)).option("sites", ",".join(sites)).load()

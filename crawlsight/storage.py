@@ -4,17 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of the run that is open, if any.
+_open: list[str] = []
+
+
+def _own(spark: SparkSession) -> str:
+    """A folder for a session that names none: on this machine, which is enough only if all of Spark runs on it."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+    at = tempfile.mkdtemp(prefix="crawlsight-")
+    spark.sparkContext.setCheckpointDir(f"file://{at}")
+    return at
+
+
+def _base(spark: SparkSession) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own(spark)
+    return at.rstrip("/")
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; a folder of our own is set only where that is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="crawlsight-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the open work folder, or below spark.checkpoint.dir; a folder of our own only on a single machine without that."""
+    return f"{_open[-1] if _open else _base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def work_folder(spark: SparkSession, base: str | None = None) -> Iterator[str]:
+    """What is written while it is open lies in one folder below base (or the shared one), and goes when it is closed."""
+    at = f"{(base or _base(spark)).rstrip('/')}/run-{uuid.uuid4().hex}"
+    _open.append(at)
+    try:
+        yield at
+    finally:
+        _open.remove(at)
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,10 +6,11 @@ from datetime import UTC, datetime
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from pyspark.sql.types import StructType
 
 from crawlsight import cli
 from crawlsight.sources import live
-from crawlsight.sources.config import Config, Range, Site
+from crawlsight.sources.config import Config, Range, Site, dump, parse
 from tests.helpers import NS, web_page
 
 
@@ -110,11 +111,32 @@ def test_retry_after():
     assert {v: live.retry_after(v, now) for v in cases} == cases
 
 
+QUICK = "politeness: {delay: {min: 0, max: 0}, crawl_delay: {min: 0, max: 0}, retry_delay: {min: 0, max: 0}}\nreport: {formats: [json, tables]}\n"
+
+
 def test_source_and_command(server, spark, tmp_path, monkeypatch):
-    text = "politeness: {delay: {min: 0, max: 0}, crawl_delay: {min: 0, max: 0}, retry_delay: {min: 0, max: 0}}\nreport: {formats: [json, md]}\n"
-    rows = live.capture(spark, text, [server]).collect()
+    rows = live.capture(spark, parse(QUICK), [server]).collect()
     assert {r.phase for r in rows} == {"warm_up", "home", "robots", "sitemap", "crawl", "hop"}
     monkeypatch.chdir(tmp_path)
-    (tmp_path / "crawlsight.yaml").write_text(text)
-    assert cli.main(["run", server, "--out", "out", "--fail-on", "warning"]) == 1
-    assert (tmp_path / "out" / "latest").exists() and len(list((tmp_path / "out").glob("*/report.json"))) == 1
+    (tmp_path / "crawlsight.yaml").write_text(QUICK)
+    assert cli.main(["run", server, "--out", "out", "--fail-on", "warning", "--work", str(tmp_path / "work")]) == 1
+    assert (tmp_path / "out" / "latest").exists() and len(list((tmp_path / "out").glob("*/report.json"))) == 1 and len(list((tmp_path / "out").glob("*/tables/urls"))) == 1
+    assert list((tmp_path / "work").iterdir()) == []  # the run's own tables are gone
+
+
+def test_flags_reach_the_capture(server, tmp_path, monkeypatch):
+    """What the command line says is what sites are fetched by."""
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "crawlsight.yaml").write_text(QUICK)
+
+    def fetched(*flags):
+        config = cli.changed(cli.load(None), cli.arguments(["run", server, *flags]))
+        reader = live.SiteCapture({"config": dump(config), "sites": server}).reader(StructType([]))
+        rows = list(live.capture_site(reader.config.select([server])[0], reader.config, lambda s: None))
+        return reader.config, [r for r in rows if r["phase"] == "crawl"]
+
+    assert len(fetched()[1]) == 5
+    config, rows = fetched("--no-crawl")
+    assert not config.crawl.enabled and rows == []
+    config, rows = fetched("--max-urls", "2", "--concurrency", "1")
+    assert (config.crawl.max_urls, config.crawl.concurrency, len(rows)) == (2, 1, 2)

@@ -15,7 +15,7 @@ from crawlsight.plans import audit as plan
 from crawlsight.plans import reports, tables
 from crawlsight.sources.config import Config
 from crawlsight.storage import written
-from tests.helpers import BASE, captured, responses, sites
+from tests.helpers import NURSERY, captured, responses, sites
 
 NOW = datetime(2026, 10, 1, 12, tzinfo=UTC)
 
@@ -24,7 +24,7 @@ NOW = datetime(2026, 10, 1, 12, tzinfo=UTC)
 def run(spark):
     config = Config()
     config.sitemap.max_depth = 2
-    run = plan.audit(responses(spark, captured()), sites(spark, BASE), config, NOW)
+    run = plan.audit(responses(spark, captured()), sites(spark, NURSERY), config, NOW)
     run.urls, run.sites, run.excluded = written(run.urls, "urls"), written(run.sites, "sites"), written(run.excluded, "excluded")
     return run
 
@@ -36,16 +36,16 @@ def total(run):
 
 def test_tables(run, total):
     urls = [r.asDict() for r in tables.url_table(run).collect()]
-    assert tuple(urls[0]) == tables.URLS and len(urls) == 25 and urls[0]["url"] == f"{BASE}/"
-    old = next(u for u in urls if u["url"] == f"{BASE}/old")
-    assert (old["status"], old["final_status"], old["redirect_to"], old["issues"]) == ("301", "200", f"{BASE}/old2", "URL_REDIRECT; URL_REDIRECT_CHAIN")
-    assert old["details"].startswith(f"URL_REDIRECT: 301 -> {BASE}/old2; URL_REDIRECT_CHAIN: 2 hops")
+    assert tuple(urls[0]) == tables.URLS and len(urls) == 26 and urls[0]["url"] == f"{NURSERY}/"
+    old = next(u for u in urls if u["url"] == f"{NURSERY}/spring")
+    assert (old["status"], old["final_status"], old["redirect_to"], old["issues"]) == ("308", "200", f"{NURSERY}/spring/1", "URL_REDIRECT; URL_REDIRECT_CHAIN")
+    assert old["details"].startswith(f"URL_REDIRECT: 308 -> {NURSERY}/spring/1; URL_REDIRECT_CHAIN: 3 hops")
     maps = [r.asDict() for r in tables.sitemap_table(run).collect()]
     assert tuple(maps[0]) == tables.SITEMAPS and [m["kind"] for m in maps[:2]] == ["index", "urlset"]
-    assert maps[1]["statuses"] == "200:18 301:2 302:1 404:1" and maps[1]["duplicates_inside"] == "1" and "DUPLICATE_URL:1" in maps[1]["url_issues"]
+    assert maps[1]["statuses"] == "200:19 301:1 302:1 308:1" and maps[1]["duplicates_inside"] == "2" and "DUPLICATE_URL:1" in maps[1]["url_issues"]
     assert next(m for m in maps if m["kind"] == "cycle")["http"] == "-"
     [site] = [r.asDict() for r in tables.site_table(run).collect()]
-    assert tuple(site) == tables.SITES and (site["urls"], site["2xx"], site["3xx"], site["4xx"], site["robots"]) == ("25", "21", "3", "1", "YES")
+    assert tuple(site) == tables.SITES and (site["urls"], site["2xx"], site["3xx"], site["4xx"], site["robots"]) == ("26", "23", "3", "0", "YES")
     issues = [r.asDict() for r in tables.issue_table(run).collect()]
     assert len(issues) == total and issues[0]["scope"] == "site" and issues[-1]["scope"] == "url" and all(i["title"] for i in issues)
     summary = tables.code_summary(run).collect()
@@ -53,9 +53,9 @@ def test_tables(run, total):
 
 
 def test_filter(run):
-    assert tables.filter_urls(run, status_in="4xx").count() == 1
-    assert {r.url for r in tables.filter_urls(run, code="NOINDEX").collect()} == {f"{BASE}/noindex", f"{BASE}/hdr-noindex"}
-    assert tables.filter_urls(run, words="NOT FOUND").count() >= 1 and tables.filter_urls(run, site="other").count() == 0
+    assert tables.filter_urls(run, status_in="3xx").count() == 3
+    assert {r.url for r in tables.filter_urls(run, code="NOINDEX").collect()} == {f"{NURSERY}/orchid", f"{NURSERY}/lily"}
+    assert tables.filter_urls(run, words="GREENHOUSE").count() == 1 and tables.filter_urls(run, site="other").count() == 0
     assert 0 < tables.filter_urls(run, severity="error").count() < tables.filter_urls(run, severity="notice").count()
 
 
@@ -65,17 +65,17 @@ def test_files(run, total, tmp_path):
 
     value = json.loads((tmp_path / "report.json").read_text())
     [site] = value["sites"]
-    assert value["schema_version"] == 1 and len(site["urls"]) == 25 and site["stats"]["urls"] == 25 and site["stats"]["status"]["200"] == 21
+    assert value["schema_version"] == 1 and len(site["urls"]) == 26 and site["stats"]["urls"] == 26 and site["stats"]["status"]["200"] == 23
     assert sum(site["stats"]["codes"].values()) == total == len(site["issues"]) + sum(len(x["issues"]) for x in site["urls"] + site["sitemaps"])
-    old = next(u for u in site["urls"] if u["url"] == f"{BASE}/old")
-    assert [h["status"] for h in old["redirect_chain"]] == [302, 200] and "title" not in old
+    old = next(u for u in site["urls"] if u["url"] == f"{NURSERY}/spring")
+    assert [h["status"] for h in old["redirect_chain"]] == [302, 301, 200] and "title" not in old
 
     with (tmp_path / "urls.csv").open(newline="") as f:
         lines = list(csv.reader(f))
-    assert lines[0] == list(tables.URLS) and len(lines) == 26
+    assert lines[0] == list(tables.URLS) and len(lines) == 27
 
     summary = (tmp_path / "summary.md").read_text()
-    assert summary.startswith("# Sitemap audit\n") and "| shop.example.com | robots |" in summary and "…and" in summary
+    assert summary.startswith("# Sitemap audit\n") and "| plants.nursery.test | robots |" in summary and "…and" in summary
 
     suites = ElementTree.parse(tmp_path / "junit.xml").getroot()
     failing = {c.get("name").split()[0] for c in suites.iter("testcase") if c.find("failure") is not None}
@@ -85,7 +85,7 @@ def test_files(run, total, tmp_path):
         assert re.findall(r'<sheet name="(\w+)"', z.read("xl/workbook.xml").decode()) == ["Summary", "Sites", "Sitemaps", "URLs", "Issues"]
         sheet = z.read("xl/worksheets/sheet4.xml").decode()
         ElementTree.fromstring(sheet)
-        assert sheet.count("<row ") == 26 and 'state="frozen"' in sheet and "<v>301</v>" in sheet
+        assert sheet.count("<row ") == 27 and 'state="frozen"' in sheet and "<v>308</v>" in sheet
 
     page = (tmp_path / "report.html").read_text()
     data = re.search(r'<script id="data" type="application/json">(.*?)</script>', page, re.S)[1]
@@ -99,12 +99,19 @@ def test_junit_from_warning(run):
 
 def test_distributed(run, spark, tmp_path):
     reports.write_tables(run, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "urls")).count() == 25
+    assert spark.read.parquet(str(tmp_path / "urls")).count() == 26
+
+
+def test_too_large_for_the_driver(run, spark, tmp_path):
+    """Beyond a number of rows only the executors write; the tables are a format as any other."""
+    files, errors = reports.write(run, tmp_path, ["tables", "json", "md"], most=5)
+    assert [f.name for f in files] == ["tables"] and len(errors) == 2 and "use the format tables" in errors[0]
+    assert {f.name for f in (tmp_path / "tables").iterdir()} == {"issues", "sitemaps", "sites", "urls"}
 
 
 def test_console(run):
     text = reports.console(run)
-    assert "| shop.example.com | robots" in text and text.splitlines()[-1].endswith("notices")
+    assert "| plants.nursery.test | robots" in text and text.splitlines()[-1].endswith("notices")
 
 
 def test_run_dirs(tmp_path):
