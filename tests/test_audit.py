@@ -6,28 +6,28 @@ import pytest
 
 from crawlsight.plans import audit as plan
 from crawlsight.sources.config import Config
-from tests.helpers import BASE, captured, response, responses, sites, web_page
+from tests.helpers import JOURNAL, NURSERY, SITE, captured, plant_entries, response, responses, sites, urlset, web_page
 
-NOW = datetime(2026, 10, 1, 12, tzinfo=UTC)
-SHOP, BLOG = "shop.example.com", "shop.example.com/blog"
+NOW = datetime(2026, 4, 9, 8, 30, tzinfo=UTC)
+LISTED = {e[0] if isinstance(e, tuple) else e for e in plant_entries(NURSERY)} - {"catalogue/old"} | {f"{NURSERY}/frost"}
 
 
-def config(**more):
+def config():
     c = Config()
     c.sitemap.max_depth = 2
-    c.thresholds.slow_response = 0.1
-    c.thresholds.max_page_size = 1_000_000
+    c.thresholds.slow_response = 0.6
+    c.thresholds.max_page_size = 200_000
     return c
 
 
-def codes(issues, site, scope, target):
+def codes(issues, scope, target, site=SITE):
     return {r.code: r.message for r in issues if (r.site_id, r.scope, r.target) == (site, scope, target)}
 
 
 @pytest.fixture(scope="module")
 def run(spark):
-    rows = captured() + captured(site=BLOG, home="/blog/")
-    return plan.audit(responses(spark, rows), sites(spark, BASE, f"{BASE}/blog"), config(), NOW)
+    rows = captured() + captured(site=JOURNAL, home="/journal/")
+    return plan.audit(responses(spark, rows), sites(spark, NURSERY, f"{NURSERY}/journal"), config(), NOW)
 
 
 @pytest.fixture(scope="module")
@@ -37,163 +37,182 @@ def issues(run):
 
 @pytest.fixture(scope="module")
 def urls(run):
-    return {(r.site_id, r.url): r for r in run.urls.collect()}
-
-
-@pytest.fixture(scope="module")
-def maps(run):
-    return sorted((r for r in run.sitemaps.collect() if r.site_id == SHOP), key=lambda r: r.sm_order)
+    return {(r.site_id, r.url.removeprefix(NURSERY)): r for r in run.urls.collect()}
 
 
 def test_sites(run, issues):
+    """The home page twice, robots.txt, and where the sitemap was found."""
     rows = {r.site_id: r for r in run.sites.collect()}
-    shop, blog = rows[SHOP], rows[BLOG]
-    assert {"SITE_FIRST_VISIT_DIFFERS", "ROBOTS_SITEMAP_INVALID"} <= set(codes(issues, SHOP, "site", BASE))
-    assert (shop.home.status, shop.warm_up.status, shop.sitemap, shop.sitemap_source) == (200, 302, f"{BASE}/sitemap_index.xml", "robots")
-    assert shop.robots_found and shop.robots_group == "*" and shop.crawl_delay == 0.01
-    assert blog.home.status == 404 and "SITE_HTTP_ERROR" in codes(issues, BLOG, "site", f"{BASE}/blog")
-
-
-def test_excluded(run):
-    assert [(r.site_id, r.section_id, r.prefix, r.urls) for r in run.excluded.collect()] == [(SHOP, BLOG, "/blog", 2)]
+    whole, journal = rows[SITE], rows[JOURNAL]
+    assert (whole.home.status, whole.warm_up.status, journal.home.status) == (200, 307, 503)
+    assert (whole.sitemap, whole.sitemap_source, whole.robots_found, whole.robots_group, whole.crawl_delay) == (f"{NURSERY}/maps/all.xml", "robots", True, "*", 4.0)
+    assert set(codes(issues, "site", NURSERY)) == {"SITE_FIRST_VISIT_DIFFERS", "ROBOTS_SITEMAP_INVALID"}
+    assert "SITE_HTTP_ERROR" in codes(issues, "site", f"{NURSERY}/journal", JOURNAL)
+
+
+def test_sections(run, urls):
+    """URLs below the journal are that site's own, and excluded from the whole one's."""
+    assert [tuple(r[c] for c in ("site_id", "section_id", "prefix", "urls")) for r in run.excluded.collect()] == [(SITE, JOURNAL, "/journal", 3)]
+    assert {u for s, u in urls if s == JOURNAL} == {"/journal/2024", "/journal/2025", "/journal/2026"}
+    assert {u for s, u in urls if s == SITE} == {u.removeprefix(NURSERY) for u in LISTED}
+
+
+FILES = {
+    "all.xml": {"SITEMAP_LOC_INVALID"},
+    "plants.xml": {"LOC_NOT_ABSOLUTE", "SITEMAP_DUPLICATE_ENTRIES", "SITEMAP_REPEAT"},
+    "groups.xml": {"SITEMAP_NESTED_INDEX"},
+    "sub.xml": {"SITEMAP_NESTED_INDEX", "SITEMAP_TOO_DEEP"},
+    "journal.txt": set(),
+    "post.xml.gz": set(),
+    "torn.xml": {"SITEMAP_INVALID_XML", "SITEMAP_NAMESPACE"},
+    "raw.xml.gz": {"SITEMAP_GZIP", "SITEMAP_EMPTY"},
+    "lost.xml": {"SITEMAP_HTTP_ERROR"},
+    "help.html": {"SITEMAP_NOT_SITEMAP"},
+}
 
 
-@pytest.mark.parametrize(
-    ("path", "code"),
-    [("nested-index.xml", "SITEMAP_NESTED_INDEX"), ("missing.xml", "SITEMAP_HTTP_ERROR"), ("broken.xml", "SITEMAP_INVALID_XML"), ("broken.xml", "SITEMAP_NAMESPACE"), ("plain.xml.gz", "SITEMAP_GZIP"), ("plain.xml.gz", "SITEMAP_EMPTY"), ("deeper-index.xml", "SITEMAP_TOO_DEEP"), ("sitemap-pages.xml", "LOC_NOT_ABSOLUTE"), ("sitemap-pages.xml", "SITEMAP_DUPLICATE_ENTRIES"), ("sitemap_index.xml", "SITEMAP_LOC_INVALID"), ("missing-from-robots.xml", "SITEMAP_NOT_SITEMAP")],
-)
-def test_sitemap_issues(issues, path, code):
-    assert code in codes(issues, SHOP, "sitemap", f"{BASE}/{path}")
+def test_files(run, issues):
+    got = {name: set(codes(issues, "sitemap", f"{NURSERY}/maps/{name}")) - {"SITEMAP_INDEX_CYCLE"} for name in FILES}
+    want = dict(FILES)
+    assert got == want
+    assert "SITEMAP_INDEX_CYCLE" in codes(issues, "sitemap", f"{NURSERY}/maps/all.xml")
+    assert codes(issues, "sitemap", f"{NURSERY}/maps/plants.xml")["SITEMAP_DUPLICATE_ENTRIES"].startswith("2 ")
 
 
-def test_walk(maps):
-    assert [(m.url.removeprefix(BASE + "/"), m.kind, m.depth) for m in maps] == [
-        ("sitemap_index.xml", "index", 0), ("sitemap-pages.xml", "urlset", 1), ("sitemap-news.xml.gz", "urlset", 1), ("nested-index.xml", "index", 1),
-        ("sitemap-blog.txt", "text", 2), ("sitemap_index.xml", "cycle", 2), ("sitemap-pages.xml", "repeat", 2), ("deeper-index.xml", "too-deep", 2),
-        ("missing.xml", "not-sitemap", 1), ("broken.xml", "urlset", 1), ("plain.xml.gz", "urlset", 1), ("missing-from-robots.xml", "not-sitemap", 0),
+def test_walk(run):
+    """In pre-order, an index's children where it names them."""
+    rows = sorted((r for r in run.sitemaps.collect() if r.site_id == SITE), key=lambda r: r.sm_order)
+    assert [(r.url.rpartition("/")[2], r.depth, r.kind) for r in rows] == [
+        ("all.xml", 0, "index"), ("plants.xml", 1, "urlset"), ("groups.xml", 1, "index"), ("all.xml", 2, "cycle"), ("sub.xml", 2, "too-deep"), ("journal.txt", 2, "text"), ("plants.xml", 2, "repeat"),
+        ("post.xml.gz", 1, "urlset"), ("torn.xml", 1, "urlset"), ("raw.xml.gz", 1, "urlset"), ("lost.xml", 1, "not-sitemap"), ("help.html", 0, "not-sitemap"),
     ]
-    pages = maps[1]
-    assert (pages.unique_urls, pages.duplicates_inside, pages.entries) == (22, 1, 24)
-    assert maps[2].gzip and maps[2].uncompressed_bytes > maps[2].size_bytes
+    plants, post = rows[1], rows[7]
+    assert (plants.entries, plants.unique_urls, plants.duplicates_inside) == (25, 22, 2)
+    assert post.gzip and post.entries == 1
 
 
 URL_CODES = {
-    "/about": {"LASTMOD_INVALID", "HREFLANG_INVALID", "DUPLICATE_URL", "HREFLANG_NOT_RECIPROCAL", "HREFLANG_ALTERNATE_UNLISTED", "NEAR_DUPLICATE"},
-    "/about/": {"TRAILING_SLASH", "NEAR_DUPLICATE"},
-    "/old": {"URL_REDIRECT", "URL_REDIRECT_CHAIN"},
-    "/loop": {"URL_REDIRECT", "URL_REDIRECT_LOOP"},
-    "/to-gone": {"URL_REDIRECT", "URL_REDIRECT_BROKEN"},
-    "/gone": {"URL_HTTP_ERROR", "LASTMOD_FUTURE"},
-    "/soft": {"SOFT_404", "PRIORITY_INVALID", "CHANGEFREQ_INVALID"},
-    "/empty": {"SOFT_404"},
-    "/noindex": {"NOINDEX"},
-    "/hdr-noindex": {"NOINDEX"},
-    "/private/x": {"ROBOTS_BLOCKED"},
-    "/canon": {"CANONICAL_MISMATCH"},
-    "/two-canon": {"CANONICAL_INVALID"},
-    "/contact?utm_source=mail": {"TRACKING_PARAMS"},
-    "/file.pdf": {"CONTENT_NOT_HTML"},
-    "/slow": {"SLOW_RESPONSE"},
-    "/big": {"PAGE_TOO_LARGE"},
-    "/lm": {"LASTMOD_MISMATCH"},
-    "/flaky": {"URL_RETRIED"},
-    "/a page": {"LOC_NOT_ENCODED"},
-    "/news/1": {"NEWS_STALE", "NEWS_MISSING_FIELD"},
-    "/ro/despre": set(),
     "/": set(),
+    "/fern": {"HREFLANG_NOT_RECIPROCAL", "HREFLANG_ALTERNATE_UNLISTED"},
+    "/nl/varen": set(),
+    "/moss": {"LASTMOD_INVALID", "DUPLICATE_URL", "NEAR_DUPLICATE"},
+    "/moss/": {"NEAR_DUPLICATE", "TRAILING_SLASH"},
+    "/ivy": {"CHANGEFREQ_INVALID", "PRIORITY_INVALID"},
+    "/palm": {"LASTMOD_FUTURE"},
+    "/cart/list": {"ROBOTS_BLOCKED"},
+    "/rose?gclid=7": {"TRACKING_PARAMS"},
+    "/tulip bulbs": {"LOC_NOT_ENCODED"},
+    "/cactus": {"LASTMOD_MISMATCH"},
+    "/seeds.zip": {"CONTENT_NOT_HTML"},
+    "/orchid": {"NOINDEX"},
+    "/lily": {"NOINDEX"},
+    "/daisy": {"CANONICAL_MISMATCH"},
+    "/lotus": {"CANONICAL_INVALID"},
+    "/reed": {"SOFT_404"},
+    "/spring": {"URL_REDIRECT", "URL_REDIRECT_CHAIN"},
+    "/winter": {"URL_REDIRECT", "URL_REDIRECT_LOOP"},
+    "/autumn": {"URL_REDIRECT", "URL_REDIRECT_BROKEN"},
+    "/catalogue": {"PAGE_TOO_LARGE"},
+    "/greenhouse": {"SLOW_RESPONSE", "URL_RETRIED"},
+    "/frost": {"NEWS_STALE"},
 }
 
 
-@pytest.mark.parametrize("path", URL_CODES)
-def test_url_issues(issues, path):
-    assert set(codes(issues, SHOP, "url", BASE + path)) == URL_CODES[path]
+def test_url_issues(issues):
+    got = {path: set(codes(issues, "url", NURSERY + path)) for path in URL_CODES}
+    assert got == URL_CODES and {NURSERY + p for p in URL_CODES} == LISTED
 
 
 def test_messages(issues):
-    assert codes(issues, SHOP, "url", f"{BASE}/old")["URL_REDIRECT_CHAIN"] == f"2 hops: {BASE}/old -> {BASE}/old2 -> {BASE}/about"
-    assert codes(issues, SHOP, "url", f"{BASE}/private/x")["ROBOTS_BLOCKED"] == "Disallow: /private/ (group *)"
-    assert codes(issues, SHOP, "url", f"{BASE}/about")["DUPLICATE_URL"] == f"listed 2 times in {BASE}/sitemap-pages.xml"
-    assert codes(issues, SHOP, "url", f"{BASE}/slow")["SLOW_RESPONSE"] == "0.12s (threshold 100ms)"
-    assert codes(issues, SHOP, "url", f"{BASE}/lm")["LASTMOD_MISMATCH"] == "<lastmod> 2020-01-01, Last-Modified 2026-07-01T10:00:00Z"
-    assert codes(issues, SHOP, "sitemap", f"{BASE}/sitemap-pages.xml")["LOC_NOT_ABSOLUTE"] == '/relative: "/relative" is not an absolute http(s) URL'
+    say = lambda path, code: codes(issues, "url", NURSERY + path)[code]
+    b = NURSERY
+    assert say("/spring", "URL_REDIRECT_CHAIN") == f"3 hops: {b}/spring -> {b}/spring/1 -> {b}/spring/2 -> {b}/fern"
+    assert say("/cart/list", "ROBOTS_BLOCKED") == "Disallow: /cart/ (group *)"
+    assert say("/moss", "DUPLICATE_URL") == f"listed 3 times in {b}/maps/plants.xml"
+    assert say("/moss", "NEAR_DUPLICATE") == f"also listed as {b}/moss/"
+    assert say("/greenhouse", "SLOW_RESPONSE") == "0.75s (threshold 600ms)"
+    assert say("/cactus", "LASTMOD_MISMATCH") == "<lastmod> 2021-03-04, Last-Modified 2026-02-05T06:07:08Z"
+    assert codes(issues, "sitemap", f"{b}/maps/plants.xml")["LOC_NOT_ABSOLUTE"].startswith("catalogue/old: ")
 
 
 def test_urls(urls):
-    shop = {u: r for (s, u), r in urls.items() if s == SHOP}
-    assert len(shop) == 23 and all(r.crawled for r in shop.values()) and f"{BASE}/blog/a" not in shop
-    old = shop[f"{BASE}/old"]
-    assert (old.status, len(old.redirect_chain), old.final_status, old.redirect_to) == (301, 2, 200, f"{BASE}/old2")
-    soft = shop[f"{BASE}/soft"]
-    assert soft.title == "Page not found" and soft.text_length > 0 and soft.status_text == "OK" and soft.max_severity == "error"
-    assert shop[f"{BASE}/canon"].canonical == f"{BASE}/about"
-    assert shop[f"{BASE}/about"].occurrences == 2 and shop[f"{BASE}/about"].lastmod == "2024-13-01"
-    assert len([1 for s, _ in urls if s == BLOG]) == 2
-    first = min(shop.values(), key=lambda r: (r.first_order, r.url))
-    assert first.url == f"{BASE}/"
+    """One row a URL, with what its answer says."""
+    row = lambda path: urls[SITE, path]
+    assert all(r.crawled for (s, _), r in urls.items() if s == SITE)
+    assert (row("/spring").status, row("/spring").redirect_to, len(row("/spring").redirect_chain), row("/spring").final_status) == (308, f"{NURSERY}/spring/1", 3, 200)
+    assert (row("/moss").occurrences, row("/moss").lastmod, row("/moss").max_severity) == (3, "2026-02-30", "warning")
+    assert (row("/reed").title, row("/reed").text_length, row("/reed").status_text) == ("Reed", 4, "OK")
+    assert (row("/daisy").canonical, row("/orchid").meta_robots, row("/orchid").h1) == (f"{NURSERY}/fern", "none", "Orchid")
+    assert row("/fern").first_order == row("/").first_order < row("/frost").first_order
 
 
 def test_exit_code(run):
-    for fail_on, want in (("none", 0), ("error", 1), ("notice", 1)):
-        run.config.report.fail_on = fail_on
-        assert plan.exit_code(run) == want
+    got = []
+    for run.config.report.fail_on in ("none", "error", "warning", "notice"):
+        got.append(plan.exit_code(run))
+    assert got == [0, 1, 1, 1]
+
+
+def audited(spark, rows, url, c=None):
+    run = plan.audit(responses(spark, rows), sites(spark, url), c or config(), NOW)
+    return run, run.issues.collect()
 
 
 def test_without_crawl(spark):
     c = config()
     c.crawl.enabled = False
-    run = plan.audit(responses(spark, captured()), sites(spark, BASE), c, NOW)
-    rows = {r.url: r for r in run.urls.collect()}
-    assert not any(r.crawled for r in rows.values()) and f"{BASE}/blog/a" in rows
-    assert "ROBOTS_BLOCKED" in codes(run.issues.collect(), SHOP, "url", f"{BASE}/private/x")
+    run, issues = audited(spark, captured(), NURSERY, c)
+    rows = run.urls.collect()
+    assert not any(r.crawled for r in rows) and len(rows) == len(LISTED) + 3
+    assert set(codes(issues, "url", f"{NURSERY}/cart/list")) == {"ROBOTS_BLOCKED"} and "NOINDEX" not in {i.code for i in issues}
 
 
 def test_limit_and_policy(spark):
     c = config()
-    c.crawl.max_urls = 3
-    c.checks.groups = {"hreflang": False, "url_variants": False, "redirects": False}
-    c.checks.disable = ["ROBOTS_BLOCKED"]
-    c.checks.severity = {"DUPLICATE_URL": "error"}
-    run = plan.audit(responses(spark, captured()), sites(spark, BASE), c, NOW)
-    assert sorted(r.url for r in run.urls.where("crawled").collect()) == sorted(BASE + p for p in ("/", "/about", "/ro/despre"))
-    found = {r.code: r.severity for r in run.issues.collect()}
-    assert not {"HREFLANG_NOT_RECIPROCAL", "NEAR_DUPLICATE", "URL_REDIRECT", "URL_REDIRECT_CHAIN", "ROBOTS_BLOCKED", "HREFLANG_INVALID"} & set(found)
-    assert found["DUPLICATE_URL"] == "error"
-
-
-def small(spark, rows, url, c=None):
-    run = plan.audit(responses(spark, rows), sites(spark, url), c or config(), NOW)
-    return run, {r.code for r in run.issues.where("scope = 'site'").collect()}
+    c.crawl.max_urls = 2
+    c.checks.groups = dict.fromkeys(("hreflang", "url_variants", "redirects"), False)
+    c.checks.disable = ["LASTMOD_INVALID"]
+    c.checks.severity = {"ROBOTS_BLOCKED": "notice"}
+    run, issues = audited(spark, captured(), NURSERY, c)
+    assert {r.url for r in run.urls.where("crawled").collect()} == {f"{NURSERY}/fern", f"{NURSERY}/nl/varen"}
+    found = {r.code: r.severity for r in issues}
+    assert found["ROBOTS_BLOCKED"] == "notice" and not [x for x in found if x.startswith(("HREFLANG", "URL_", "NEAR", "TRACK"))] and "LASTMOD_INVALID" not in found
+
+
+def site_codes(issues):
+    return {i.code for i in issues if i.scope == "site"}
 
 
 def test_fallback(spark):
-    b, site = "http://one.example.org", "one.example.org/shop"
-    body = f'<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>{b}/shop/a</loc></url><url><loc>{b}/other</loc></url></urlset>'
+    """robots.txt names nothing; the first usual path is a web page, the second below the host's root a sitemap."""
+    b, site = "http://tools.test", "tools.test/spades"
     rows = [
-        response(site, "home", f"{b}/shop/", body=web_page("Shop")),
-        response(site, "robots", f"{b}/robots.txt", body="User-agent: *\nDisallow:\n", kind="text/plain"),
-        response(site, "sitemap", f"{b}/shop/sitemap.xml", body=web_page("soft")),
-        response(site, "sitemap", f"{b}/sitemap.xml", body=body, kind="application/xml"),
+        response(site, "home", f"{b}/spades/", body=web_page("Spades")),
+        response(site, "robots", f"{b}/robots.txt", body="User-agent: *\nAllow: /\n", kind="text/plain"),
+        response(site, "sitemap", f"{b}/spades/sitemap.xml", body=web_page("Sitemap")),
+        response(site, "sitemap", f"{b}/sitemap.xml", body=urlset(f"{b}/rakes", f"{b}/spades/long"), kind="text/xml"),
     ]
-    run, found = small(spark, rows, f"{b}/shop")
-    assert found == {"ROBOTS_NO_SITEMAP", "SITEMAP_FALLBACK_ONLY"}
-    assert run.sites.first().sitemap_source == "fallback" and [r.url for r in run.urls.collect()] == [f"{b}/shop/a"]
-    # A sitemap that robots.txt doesn't name may list only what is below it; this one is at the root.
-    assert "LOC_OUT_OF_SCOPE" not in {r.code for r in run.issues.collect()}
-
-
-def test_soft_missing_blocked(spark):
-    b, site = "http://two.example.org", "two.example.org"
-    page = lambda phase, path, **more: response(site, phase, b + path, body=web_page("soft"), **more)
-    _, found = small(spark, [page("home", "/"), page("robots", "/robots.txt"), page("sitemap", "/sitemap.xml")], b)
-    assert found == {"ROBOTS_SOFT_404", "SITEMAP_SOFT_404", "SITEMAP_NOT_FOUND"}
-    _, found = small(spark, [page("home", "/", status=404), page("robots", "/robots.txt", status=404)], b)
-    assert found == {"SITE_HTTP_ERROR", "ROBOTS_MISSING", "SITEMAP_NOT_FOUND"}
-    _, found = small(spark, [response(site, "home", f"{b}/", 403, "<h1>Access Denied</h1>")], b)
-    assert {"SITE_WAF_BLOCK", "SITE_HTTP_ERROR"} <= found
-    run, found = small(spark, [response(site, "home", f"{b}/", 0, error="timeout")], b)
-    assert "SITE_UNREACHABLE" in found and run.sites.first().home.error == "timeout"
+    run, issues = audited(spark, rows, f"{b}/spades")
+    assert site_codes(issues) == {"ROBOTS_NO_SITEMAP", "SITEMAP_FALLBACK_ONLY"}
+    assert run.sites.first().sitemap_source == "fallback" and [r.url for r in run.urls.collect()] == [f"{b}/spades/long"]
+
+
+CLOSED = {
+    "web pages everywhere": ([("home", "/", 200, web_page("x"), {}), ("robots", "/robots.txt", 200, web_page("x"), {}), ("sitemap", "/sitemap.xml", 200, web_page("x"), {})], {"ROBOTS_SOFT_404", "SITEMAP_SOFT_404", "SITEMAP_NOT_FOUND"}),
+    "nothing but errors": ([("home", "/", 502, "", {}), ("robots", "/robots.txt", 404, "", {})], {"SITE_HTTP_ERROR", "ROBOTS_MISSING", "SITEMAP_NOT_FOUND"}),
+    "a firewall": ([("home", "/", 403, "<p>ACCESS DENIED for you</p>", {})], {"SITE_WAF_BLOCK", "SITE_HTTP_ERROR", "ROBOTS_MISSING", "SITEMAP_NOT_FOUND"}),
+    "no answer": ([("home", "/", 0, "", {"error": "connection refused"})], {"SITE_UNREACHABLE", "ROBOTS_MISSING", "SITEMAP_NOT_FOUND"}),
+}
+
+
+@pytest.mark.parametrize("name", CLOSED)
+def test_closed_sites(spark, name):
+    b, site = "http://closed.test", "closed.test"
+    rows, want = CLOSED[name]
+    _, issues = audited(spark, [response(site, phase, b + path, status, body, **more) for phase, path, status, body, more in rows], b)
+    assert site_codes(issues) == want
 
 
 def test_empty(spark):
     run = plan.audit(responses(spark, []), sites(spark), config(), NOW)
-    assert run.urls.count() == run.sitemaps.count() == run.issues.count() == run.sites.count() == 0
+    assert [t.count() for t in (run.urls, run.sitemaps, run.issues, run.sites, run.excluded)] == [0] * 5
