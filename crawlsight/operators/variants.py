@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from crawlsight.functions import text as texts
 from crawlsight.functions import urls
 from crawlsight.operators.catalogue import issue, one_of
 from crawlsight.operators.collect import url_issues
+from crawlsight.storage import written
 
 #: Other URLs that a message names, and bytes of a query that it shows.
 NAMED = 3
@@ -58,13 +61,13 @@ def others(listed: DataFrame, key: Column) -> DataFrame:
     return met.select("site_id", "url", F.concat(F.lit("also listed as "), F.array_join(named, ", "), more).alias("shown"))
 
 
-def variant_issues(listed: DataFrame, references: DataFrame) -> DataFrame:
-    """Issues of listed (site_id, url, seen); references: (site_id, reference), a row for each site."""
+def variant_issues(listed: DataFrame, references: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """Issues of listed (site_id, url, seen); references: (site_id, reference), a row for each site. keep(): writes a table."""
     known = references.join(slash_votes(listed), "site_id")
     x = listed.join(known, "site_id")
     own = x.select("site_id", "url", F.posexplode(plain_issues(F.col("url"), F.col("reference"), F.col("slash"), F.col("noslash"))).alias("pos", "issue"))
     plain = url_issues(own, 4, F.col("issue.code"), F.col("issue.message"), F.col("pos"))
-    near = others(listed, urls.page_key(F.col("url")))
+    near = keep(others(listed, urls.page_key(F.col("url"))), "near")
     folded = others(listed, urls.page_key(F.col("url"), fold=True)).join(near.select("site_id", "url"), ["site_id", "url"], "left_anti")
     duplicate = url_issues(near, 4, F.lit("NEAR_DUPLICATE"), F.col("shown"), 100)
     case = url_issues(folded, 4, F.lit("CASE_VARIANT"), F.col("shown"), 100)

@@ -230,7 +230,7 @@ def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None,
     if policy.group_enabled("hreflang"):
         issues.append(collect.hreflang_issues(listed, keep(collect.alternates(kept), "alternates")))
     if policy.group_enabled("url_variants"):
-        issues.append(variants.variant_issues(listed, homes.select("site_id", F.col("reference_url").alias("reference"))))
+        issues.append(variants.variant_issues(listed, homes.select("site_id", F.col("reference_url").alias("reference")), keep))
     if policy.enabled("ROBOTS_BLOCKED"):
         own = rules.join(sites.select("site_id", urls.hostname(F.col("url")).alias("host")), "site_id")
         issues.append(robots_checks.robots_issues(listed.select("site_id", "url"), own.select("site_id", "host", "agent", "rules")))

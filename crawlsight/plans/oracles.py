@@ -209,9 +209,8 @@ WITH {ENTRIES}, again AS (SELECT * FROM entries UNION ALL SELECT * FROM entries
 SELECT site_id, sm_order, count(DISTINCT loc) AS unique_urls, count(*) - count(DISTINCT loc) AS duplicates_inside FROM again GROUP BY site_id, sm_order""",
     "first_seen_limit": f"WITH {LISTED} SELECT site_id, url FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY seen) AS k FROM listed) WHERE k <= 5",
     "section_exclusion": f"""
-WITH p AS ({P}),
-s AS (SELECT p.site_id, p.url, part FROM p JOIN (VALUES ('en'), ('de')) AS parts(part) ON {on(BARE)} = p.site_id
-  AND (regexp_extract(p.url, '^[a-z]+://[^/?#]*([^#]*)', 1) = '/' || part OR regexp_matches(p.url, '^[a-z]+://[^/?#]*/' || part || '[/?]')))
+WITH p AS (SELECT url, {on(BARE)} AS site_id FROM pages),
+s AS (SELECT p.site_id, p.url, part FROM p JOIN (VALUES ('en'), ('de')) AS parts(part) ON regexp_matches(p.url, '^[a-z]+://[^/?#]*/' || part || '([/?]|$)'))
 SELECT site_id, site_id || '/' || part AS section_id, '/' || part AS prefix, count(DISTINCT url) AS urls FROM s GROUP BY site_id, part""",
     "robots_parse": """
 SELECT grp_no::BIGINT AS grp_no, rule_no::BIGINT AS rule_no, allow, raw, raw AS pattern FROM (VALUES (1, 2, false, '/de/'), (1, 3, true, '/de/1'), (1, 4, false, '/*.html$'), (1, 5, false, '/*?*ref='),
@@ -289,7 +288,7 @@ SELECT site_id, url AS target, string_agg(code, '; ' ORDER BY stage) AS issues,
     "url_table_page": f"WITH {ANSWERS} SELECT page_id, url, size_bytes FROM answers ORDER BY size_bytes DESC, page_id LIMIT 100 OFFSET 200",
     "junit_matrix": f"""
 WITH {FOUND}, s AS (SELECT DISTINCT site_id FROM answers),
-c AS (SELECT unnest([{", ".join(f"'{d.code}'" for d in CATALOGUE if d.group in ("status", "redirects", "performance"))}]) AS code)
+c AS (SELECT unnest([{", ".join(f"'{d.code}'" for d in CATALOGUE)}]) AS code)
 SELECT s.site_id, c.code, count(f.url) AS n FROM s CROSS JOIN c LEFT JOIN found f ON f.site_id = s.site_id AND f.code = c.code GROUP BY ALL""",
     "csv_sanitize": r"""
 SELECT doc_id, md5(CASE WHEN left(cell, 1) IN ('=', '+', '@', chr(9), chr(13)) OR (left(cell, 1) = '-' AND len(cell) > 1 AND substr(cell, 2, 1) NOT IN (' ', '0', '1', '2', '3', '4', '5', '6', '7', '8', '9')) THEN '''' || cell ELSE cell END) AS cell_md5

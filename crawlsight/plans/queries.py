@@ -7,6 +7,7 @@ have answered is worked out from page_id. plans/oracles.py says the same in Duck
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,9 @@ from crawlsight.functions import text as texts
 from crawlsight.operators import catalogue, collect, document_checks, entry_checks, page_checks, redirects, robots_checks, stats, tree, variants
 from crawlsight.plans import audit as plan
 from crawlsight.plans import tables
+from crawlsight.plans.audit import Audit
 from crawlsight.sources import html_page, robots_txt, sitemap_file
+from crawlsight.sources.config import Config
 from crawlsight.sources.schemas import SITES, bounded
 from crawlsight.storage import written
 
@@ -304,11 +307,12 @@ def first_seen_limit(spark, sf_dir):
 
 @query
 def section_exclusion(spark, sf_dir):
-    """Sites with their /en and /de parts as sites of their own."""
-    home = references(spark, sf_dir).select("site_id", F.explode(F.array(F.lit(""), F.lit("en"), F.lit("de"))).alias("part"))
-    address = F.concat(F.lit("https://"), "site_id", F.when(F.col("part") == "", "").otherwise(F.concat(F.lit("/"), "part")))
-    sites = home.select(F.when(F.col("part") == "", F.col("site_id")).otherwise(F.concat("site_id", F.lit("/"), "part")).alias("site_id"), address.alias("url"), F.when(F.col("part") == "", 0).when(F.col("part") == "en", 1).otherwise(2).alias("ord"))
-    placed = collect.in_sections(entries(spark, sf_dir), sites)
+    """Every host as a site, with its /en and /de parts as sites of their own."""
+    listed_ = entries(spark, sf_dir).withColumn("site_id", urls.host_of(F.col("loc")))
+    home = listed_.select("site_id").distinct().withColumn("part", F.explode(F.array(F.lit(""), F.lit("/en"), F.lit("/de"))))
+    address = F.concat("site_id", "part")
+    sites = home.select(address.alias("site_id"), F.concat(F.lit("https://"), address).alias("url"), F.when(F.col("part") == "", 0).otherwise(F.when(F.col("part") == "/en", 1).otherwise(2)).alias("ord"))
+    placed = collect.in_sections(listed_, sites)
     return collect.exclusions(placed).select("site_id", "section_id", "prefix", "urls")
 
 
@@ -562,23 +566,13 @@ def url_table_page(spark, sf_dir):
     return x.orderBy(F.desc("size_bytes"), "page_id").offset(200).limit(100)
 
 
-def _junit(spark, sf_dir, definitions) -> DataFrame:
-    found = stats.code_counts(answer_issues(spark, sf_dir))
-    codes = F.explode(F.array(*[F.lit(d.code) for d in definitions])).alias("code")
-    every = references(spark, sf_dir).select("site_id", codes)
-    return every.join(found, ["site_id", "code"], "left").select("site_id", "code", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query
 def junit_matrix(spark, sf_dir):
-    """Every site with every code of the groups of answers, as its SQL has it; junit_all_codes has the whole catalogue."""
-    return _junit(spark, sf_dir, [d for d in catalogue.CATALOGUE if d.group in ("status", "redirects", "performance")])
-
-
-@query
-def junit_all_codes(spark, sf_dir):
     """Every site with every code of the catalogue, and how often it has it."""
-    return _junit(spark, sf_dir, catalogue.CATALOGUE)
+    found = answers(spark, sf_dir).select("site_id", "url", F.col("page_id").alias("first_order"))
+    sites = references(spark, sf_dir).select("site_id", F.lit(0).alias("ord"))
+    run = Audit(sites, sites, found, answer_issues(spark, sf_dir), sites, catalogue.catalogue(spark), Config(), datetime(2026, 1, 1, tzinfo=UTC))
+    return tables.junit_cases(run).select("site_id", "code", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query
