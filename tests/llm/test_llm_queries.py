@@ -82,7 +82,7 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in single} == groups and len(single) == len(groups)
     taken = mixing.mix(spark.createDataFrame(single), budget_percent=corpus_pipeline.BUDGET_PERCENT, max_epochs=corpus_pipeline.MAX_EPOCHS).collect()
     assert len(mixed) == sum(r.copies + (r.prefix_tokens > 0) for r in taken)
-    check_packing(pieces, [(r.doc_id, r.text) for r in mixed], 1024)
+    check_packing(pieces, [(r.doc_id, r.text) for r in mixed], 1024, added=True)
     assert corpus_pipeline.run(spark, sf).count() == len(pieces)
 
 
