@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from crawlsight.sources.config import Config
 from crawlsight.streaming import stream
-from tests.helpers import BASE, captured, responses
+from tests.helpers import NURSERY, captured, responses
 
 
 def test_issue_stream(spark, tmp_path):
@@ -14,9 +14,9 @@ def test_issue_stream(spark, tmp_path):
     stream.issue_stream(stream.read_stream(spark, source), out, state).awaitTermination()
     responses(spark, rows[10:]).write.mode("append").parquet(source)
     stream.issue_stream(stream.read_stream(spark, source), out, state).awaitTermination()
-    got = {(r.url.removeprefix(BASE), r.code) for r in spark.read.parquet(out).collect()}
-    want = {(r.url.removeprefix(BASE), r.code) for r in stream.answer_issues(responses(spark, rows), Config()).collect()}
-    assert got == want and {("/noindex", "NOINDEX"), ("/old", "URL_REDIRECT"), ("/two-canon", "CANONICAL_INVALID"), ("/canon", "CANONICAL_MISMATCH"), ("/empty", "SOFT_404"), ("/file.pdf", "CONTENT_NOT_HTML")} <= got
+    got = {(r.url.removeprefix(NURSERY), r.code) for r in spark.read.parquet(out).collect()}
+    want = {(r.url.removeprefix(NURSERY), r.code) for r in stream.answer_issues(responses(spark, rows), Config()).collect()}
+    assert got == want and {("/orchid", "NOINDEX"), ("/spring", "URL_REDIRECT"), ("/lotus", "CANONICAL_INVALID"), ("/daisy", "CANONICAL_MISMATCH"), ("/reed", "SOFT_404"), ("/seeds.zip", "CONTENT_NOT_HTML")} <= got
 
 
 def test_windows(spark, tmp_path):
