@@ -34,6 +34,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Bytes that stay as they are, in hexadecimal.
+_PLAIN = "^(2[13-9A-F]|[35][0-9ABDF]|4[0-9A-F]|6[1-9A-F]|7[0-9AE])$"
+
+
 def bytes_of(v: Column) -> Column:
     """Two hexadecimal digits for each UTF-8 byte."""
     return F.regexp_extract_all(F.hex(F.encode(v, "UTF-8")), F.lit("(..)"), F.lit(1))
@@ -42,7 +46,7 @@ def bytes_of(v: Column) -> Column:
 def encode(v: Column) -> Column:
     """v with blanks, controls, non-ASCII and characters that URLs can't hold as %XX; a % stays."""
     one = lambda h: F.decode(F.unhex(h), "UTF-8")
-    plain = lambda h: (h >= "21") & (h <= "7E") & ~h.isin("22", "3C", "3E", "60", "7B", "7D", "7C", "5C", "5E")
+    plain = lambda h: h.rlike(_PLAIN)
     slow = F.array_join(F.transform(bytes_of(v), lambda h: F.when(plain(h), one(h)).otherwise(F.concat(F.lit("%"), h))), "")
     return F.when(v.rlike(_CLEAN), v).otherwise(slow)
 

@@ -17,7 +17,7 @@ from crawlsight.operators.collect import seq, url_issues
 from crawlsight.sources import html_page, robots_txt, sitemap_file
 from crawlsight.sources.config import Config
 from crawlsight.sources.schemas import captured
-from crawlsight.storage import written
+from crawlsight.storage import side_by_side, written
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -189,10 +189,6 @@ def _crawl_issues(rows: DataFrame, stage: int, issues: Column) -> DataFrame:
 ABSENT = {"crawled": False, "status": 0, "status_text": "", "redirect_to": "", "content_type": "", "error": "", "retries": 0, "title": "", "h1": "", "text_length": 0, "canonical": "", "meta_robots": "", "x_robots_tag": "", "last_modified": "", "size_bytes": 0, "time_s": 0.0, "final_status": 0}
 
 
-#: Kinds of issues that are worked out in one plan.
-TOGETHER = 2
-
-
 def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None, now: datetime | None = None, all_sites: DataFrame | None = None, keep: Keep = written) -> Audit:
     """Audits sites (SITES) over their captured responses (RESPONSES).
 
@@ -219,33 +215,51 @@ def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None,
     placed = collect.in_sections(entries.where("whole"), configured)
     kept = keep(placed.where("section IS NULL"), "kept")
     listed = keep(collect.collect_urls(kept), "listed")
-    counts = collect.file_counts(kept)
-    maps = sitemap_rows(visits).join(counts, ["site_id", "sm_order"], "left")
-    maps = keep(maps.withColumn("unique_urls", F.coalesce("unique_urls", F.lit(0))).withColumn("duplicates_inside", F.coalesce("duplicates_inside", F.lit(0))), "sitemaps")
-
-    issues = [discovery.home_issues(homes), discovery.robots_issues(files, named), located, visit_issues(visits, config.sitemap.max_depth), index_entry_issues(visits, config, moment), unrouted_issues(entries), collect.entry_issues(kept)]
-    if policy.group_enabled("duplicates"):
-        issues.append(sitemap_issues(maps, 2, one_of(issue("SITEMAP_DUPLICATE_ENTRIES", F.col("duplicates_inside") > 0, F.col("duplicates_inside"), " duplicate entries"))))
-        issues.append(collect.duplicate_issues(listed))
-    if policy.group_enabled("hreflang"):
-        issues.append(collect.hreflang_issues(listed, keep(collect.alternates(kept), "alternates")))
-    if policy.group_enabled("url_variants"):
-        issues.append(variants.variant_issues(listed, homes.select("site_id", F.col("reference_url").alias("reference")), keep))
-    if policy.enabled("ROBOTS_BLOCKED"):
+
+    def report(*issues: DataFrame) -> DataFrame | None:
+        return keep(catalogue.reported(catalogue.union(list(issues)), spark, policy), "issues") if issues else None
+
+    def of_files() -> tuple[DataFrame, DataFrame | None]:
+        maps = sitemap_rows(visits).join(collect.file_counts(kept), ["site_id", "sm_order"], "left").na.fill(0, ["unique_urls", "duplicates_inside"])
+        maps = keep(maps, "sitemaps")
+        if not policy.group_enabled("duplicates"):
+            return maps, None
+        twice = one_of(issue("SITEMAP_DUPLICATE_ENTRIES", F.col("duplicates_inside") > 0, F.col("duplicates_inside"), " duplicate entries"))
+        return maps, report(sitemap_issues(maps, 2, twice), collect.duplicate_issues(listed))
+
+    def of_alternates() -> DataFrame | None:
+        return report(collect.hreflang_issues(listed, keep(collect.alternates(kept), "alternates"))) if policy.group_enabled("hreflang") else None
+
+    def of_variants() -> DataFrame | None:
+        references = homes.select("site_id", F.col("reference_url").alias("reference"))
+        return report(variants.variant_issues(listed, references, keep)) if policy.group_enabled("url_variants") else None
+
+    def of_robots() -> DataFrame | None:
         own = rules.join(sites.select("site_id", urls.hostname(F.col("url")).alias("host")), "site_id")
-        issues.append(robots_checks.robots_issues(listed.select("site_id", "url"), own.select("site_id", "host", "agent", "rules")))
-    if config.crawl.enabled:
-        answers, crawl_issues = crawl_results(listed, responses, config, keep)
-        issues.append(crawl_issues)
+        return report(robots_checks.robots_issues(listed.select("site_id", "url"), own.select("site_id", "host", "agent", "rules"))) if policy.enabled("ROBOTS_BLOCKED") else None
+
+    def of_answers() -> tuple[DataFrame | None, DataFrame | None]:
+        if not config.crawl.enabled:
+            return None, None
+        answers, found_ = crawl_results(listed, responses, config, keep)
+        return answers, report(found_)
+
+    # Plans of a few checks each, side by side: one plan of all would be optimised anew after each of its many stages.
+    (answers, crawled), (maps, doubled), *others = side_by_side(
+        spark, of_answers, of_files, of_variants,
+        lambda: report(unrouted_issues(entries), collect.entry_issues(kept)),
+        lambda: report(visit_issues(visits, config.sitemap.max_depth), index_entry_issues(visits, config, moment)),
+        lambda: report(discovery.home_issues(homes), discovery.robots_issues(files, named), located),
+        of_alternates, of_robots,
+    )
+    reported = catalogue.union([part for part in (crawled, doubled, *others) if part is not None])
+    if answers is not None:
         rows = listed.join(answers, ["site_id", "url"], "left").na.fill(ABSENT)
     else:
         rows = listed
         for name, value in ABSENT.items():
             rows = rows.withColumn(name, F.lit(value))
         rows = rows.withColumn("redirect_chain", F.array().cast(redirects.HOPS))
-    # A few plans of a few checks each: one plan of all would be optimised anew after each of its many stages.
-    parts = [keep(catalogue.reported(catalogue.union(issues[i : i + TOGETHER]), spark, policy), "issues") for i in range(0, len(issues), TOGETHER)]
-    reported = catalogue.union(parts)
     rows = rows.join(stats.url_severity(reported), ["site_id", "url"], "left").withColumn("max_severity", F.coalesce("max_severity", F.lit("")))
     robots = files.select("site_id", "robots_url", F.col("status").alias("robots_status"), F.col("found").alias("robots_found"))
     agents = rules.select("site_id", F.col("agent").alias("robots_group"), "crawl_delay")

@@ -311,3 +311,114 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, floor(avg(val
     )
     + ") AS c(grp, severity, n)",
 }
+
+# The whole plan over the captured pages: sites are whole hosts, a host's place in a rule is the length of its name.
+
+_VISIBLE = r"""
+plain AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(HTML, '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>', '', 'g'), '(?s)<style.*?</style>', '', 'g'), '<[a-zA-Z/!][^>]*$', '') AS html FROM pages),
+split AS (
+  SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1,
+    regexp_replace(regexp_replace(regexp_extract(html, '(?s)</head>(.*)$', 1), '</[^>]*>|<(p|div|br|li|tr|td|th|h[2-6]|section|article|header|footer|nav|main|ul|ol|table)([ /][^>]*)?>', ' ', 'g'), '<[a-zA-Z!][^>]*>', '', 'g') AS body FROM plain),
+signals AS (SELECT page_id, """ + ", ".join(
+    rf"""trim(regexp_replace(regexp_replace(replace(replace(replace(replace({c}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;?', '&', 'g'), '[\x00-\x20\x7F\x{{A0}}]+', ' ', 'g')) AS {c}""" for c in ("title", "h1", "body")
+) + " FROM split)"
+SIGNALS = _VISIBLE.replace("HTML", "html")
+SITEMAPS_OF = f"""
+h AS (SELECT page_id, url, {on(HOST)} AS site_id, page_id // 50 AS file_no FROM pages),
+hosts AS (SELECT DISTINCT site_id, len(site_id) AS size, 'https://' || site_id AS base FROM h)"""
+NAMES = f"SELECT site_id, url, page_id, regexp_split_to_array({on(QUERY)}, '[&;]') AS parts FROM h"
+_AUDITED = (
+    SIGNALS
+    + ","
+    + SITEMAPS_OF
+    + f""",
+facts AS (
+  SELECT h.*, [200, 200, 301, 404, 0][page_id % 5 + 1] AS status, {key("url")} AS key, {key("url", True)} AS fold, {on(STYLE)} AS style, {on(PATH)} AS path,
+    list_filter(list_transform(list_filter(regexp_split_to_array({on(QUERY)}, '[&;]'), lambda x: x <> ''), lambda x: split_part(x, '=', 1)), lambda x: true) AS names FROM h),
+counted AS (
+  SELECT f.*, s.title, s.h1, strlen(s.body) AS bytes, len(s.body) AS text_length, count(*) OVER (PARTITION BY site_id, key) AS same_key, count(*) OVER (PARTITION BY site_id, fold) AS same_fold,
+    count(*) FILTER (style = 'slash') OVER (PARTITION BY site_id) AS slashes, count(*) FILTER (style = 'noslash') OVER (PARTITION BY site_id) AS plains,
+    len(list_filter(names, lambda x: regexp_matches(x, '(?i)^(utm_[a-z]+|gclid|fbclid)$'))) AS tracks FROM facts f JOIN signals s USING (page_id)),
+told AS (
+  SELECT site_id, 'url' AS scope, url AS target, code, place FROM (
+    SELECT *, unnest([
+      CASE WHEN contains(url, '#') THEN {{code: 'LOC_FRAGMENT', place: 10}} END,
+      CASE WHEN page_id % 9 = 8 THEN {{code: 'LASTMOD_INVALID', place: 11}} END,
+      CASE WHEN page_id % 10 = 0 THEN {{code: 'DUPLICATE_URL', place: 20}} END,
+      CASE WHEN starts_with(url, 'http://') THEN {{code: 'HTTP_URL', place: 40}} END,
+      CASE WHEN (style = 'slash' AND plains > slashes) OR (style = 'noslash' AND slashes > plains) THEN {{code: 'TRAILING_SLASH', place: 41}} END,
+      CASE WHEN tracks > 0 THEN {{code: 'TRACKING_PARAMS', place: 42}} WHEN len(names) > 0 THEN {{code: 'QUERY_PARAMS', place: 42}} END,
+      CASE WHEN same_key > 1 THEN {{code: 'NEAR_DUPLICATE', place: 43}} WHEN same_fold > 1 THEN {{code: 'CASE_VARIANT', place: 43}} END,
+      CASE WHEN starts_with(path, '/de/') THEN {{code: 'ROBOTS_BLOCKED', place: 50}} END,
+      CASE status WHEN 0 THEN {{code: 'URL_NO_RESPONSE', place: 60}} WHEN 404 THEN {{code: 'URL_HTTP_ERROR', place: 60}} WHEN 301 THEN {{code: 'URL_REDIRECT', place: 60}} END,
+      CASE WHEN status = 200 AND (text_length < 100 OR regexp_matches(lower(title || ' ' || h1), '(^|[^0-9])404([^0-9]|$)|not found|page not found|error 404|nicht gefunden|introuvable|no encontrad|non trovat|não encontrad|niet gevonden|nie znaleziono|nu a fost g[aă]sit|не найден')) THEN {{code: 'SOFT_404', place: 80}} END
+    ], recursive := false) AS found FROM counted), LATERAL (SELECT found.code AS code, found.place AS place) WHERE found IS NOT NULL
+  UNION ALL SELECT site_id, 'site', base, 'SITE_HTTP_ERROR', 0 FROM hosts WHERE size % 2 = 1
+  UNION ALL SELECT site_id, 'site', base, unnest(['ROBOTS_NO_SITEMAP', 'SITEMAP_FALLBACK_ONLY']), 0 FROM hosts WHERE size % 3 = 1
+  UNION ALL SELECT site_id, 'site', base, 'ROBOTS_SITEMAP_INVALID', 0 FROM hosts WHERE size % 3 = 2
+  UNION ALL SELECT site_id, 'sitemap', base || '/gone.xml', 'SITEMAP_HTTP_ERROR', 0 FROM hosts WHERE size % 3 = 2
+  UNION ALL SELECT site_id, 'sitemap', base || '/sitemap.xml', 'SITEMAP_INDEX_CYCLE', 0 FROM hosts
+  UNION ALL SELECT DISTINCT site_id, 'sitemap', file_no::VARCHAR, 'SITEMAP_DUPLICATE_ENTRIES', 0 FROM h WHERE page_id % 10 = 0),
+severities(code, severity, rank) AS (VALUES """
+    + ", ".join(f"('{d.code}', '{d.severity}', {('notice', 'warning', 'error').index(d.severity) + 1})" for d in CATALOGUE)
+    + "),\nissues AS (SELECT t.*, severity, rank FROM told t JOIN severities s ON s.code = t.code)"
+)
+
+ORACLES |= {
+    "page_analyze": f"WITH {SIGNALS} SELECT page_id, title, h1, len(body) AS text_length, 0::BIGINT AS n_robots, 0::BIGINT AS n_canonicals FROM signals",
+    "audit_issues": f"WITH {_AUDITED} SELECT scope, code, severity, count(*) AS n FROM issues GROUP BY ALL",
+    "audit_urls": f"""
+WITH {_AUDITED},
+own AS (SELECT site_id, target, string_agg(code, '; ' ORDER BY place) AS issues, arg_max(severity, rank) AS worst FROM issues WHERE scope = 'url' GROUP BY site_id, target)
+SELECT c.site_id, url, CASE status WHEN 0 THEN '000' ELSE status::VARCHAR END AS status, CASE status WHEN 301 THEN 'https://' || c.site_id || '/moved' ELSE '-' END AS redirect_to, CASE status WHEN 301 THEN '200' ELSE '-' END AS final_status,
+  CASE status WHEN 0 THEN 'timeout' ELSE '-' END AS error, CASE WHEN page_id % 10 = 0 THEN '2' ELSE '1' END AS occurrences, 'https://' || c.site_id || '/sitemap-' || file_no || '.xml' AS found_in,
+  CASE status WHEN 200 THEN title ELSE '' END AS title, CASE status WHEN 200 THEN text_length ELSE 0 END::VARCHAR AS text_length, coalesce(worst, '-') AS max_severity, coalesce(own.issues, '-') AS issues
+FROM counted c LEFT JOIN own ON own.site_id = c.site_id AND own.target = c.url""",
+    "audit_sitemaps": f"""
+WITH {SITEMAPS_OF},
+files AS (SELECT site_id, file_no, count(*) AS urls, count(*) FILTER (page_id % 10 = 0) AS twice, row_number() OVER (PARTITION BY site_id ORDER BY file_no) AS k FROM h GROUP BY site_id, file_no),
+many AS (SELECT site_id, max(k) AS k FROM files GROUP BY site_id),
+maps AS (
+  SELECT s.site_id, base || '/sitemap.xml' AS url, '' AS parent, 'index' AS kind, 0::BIGINT AS sm_order, 0 AS depth, 200 AS status, m.k + 1 AS entries, 0 AS unique_urls, 0 AS duplicates_inside FROM hosts s JOIN many m ON m.site_id = s.site_id
+  UNION ALL SELECT s.site_id, base || '/sitemap-' || file_no || '.xml', base || '/sitemap.xml', 'urlset', k, 1, 200, urls + twice, urls, twice FROM hosts s JOIN files f ON f.site_id = s.site_id
+  UNION ALL SELECT s.site_id, base || '/sitemap.xml', base || '/sitemap.xml', 'cycle', m.k + 1, 1, 0, 0, 0, 0 FROM hosts s JOIN many m ON m.site_id = s.site_id
+  UNION ALL SELECT s.site_id, base || '/gone.xml', '', 'not-sitemap', m.k + 2, 0, 404, 0, 0, 0 FROM hosts s JOIN many m ON m.site_id = s.site_id WHERE size % 3 = 2)
+SELECT site_id, url, parent, kind, len(site_id) % 3 <> 1 AS in_robots, sm_order, depth::BIGINT AS depth, status::BIGINT AS status, entries::BIGINT AS entries, unique_urls::BIGINT AS unique_urls, duplicates_inside::BIGINT AS duplicates_inside FROM maps""",
+    "audit_sites": f"""
+WITH {_AUDITED},
+u AS (SELECT site_id, count(*) AS urls, count(DISTINCT file_no) AS files, count(*) FILTER (page_id % 10 = 0) AS duplicates, count(*) FILTER (status = 200) AS good, count(*) FILTER (status = 301) AS moved, count(*) FILTER (status = 404) AS gone, count(*) FILTER (status = 0) AS silent FROM counted GROUP BY site_id),
+i AS (SELECT site_id, count(*) FILTER (rank = 3) AS errors, count(*) FILTER (rank = 2) AS warnings, count(*) FILTER (rank = 1) AS notices FROM issues GROUP BY site_id)
+SELECT s.site_id, CASE WHEN size % 2 = 0 THEN '200' ELSE '503' END AS home_status, 'YES' AS robots, '200' AS robots_http, base || '/sitemap.xml' AS sitemap, CASE WHEN size % 3 = 1 THEN 'fallback' ELSE 'robots' END AS sitemap_source,
+  (files + 1)::VARCHAR AS sitemap_files, urls::VARCHAR AS urls, urls::VARCHAR AS crawled, good::VARCHAR AS "2xx", moved::VARCHAR AS "3xx", gone::VARCHAR AS "4xx", silent::VARCHAR AS "000", duplicates::VARCHAR AS duplicates,
+  errors::VARCHAR AS errors, warnings::VARCHAR AS warnings, notices::VARCHAR AS notices FROM hosts s JOIN u ON u.site_id = s.site_id JOIN i ON i.site_id = s.site_id""",
+    "page_signals": f"""
+WITH {_VISIBLE.replace("HTML", "html")}
+SELECT s.page_id, title, len(body)::BIGINT AS text_length, array_to_string(list_filter([CASE WHEN s.page_id % 3 = 0 THEN 'noindex, follow' END, CASE WHEN s.page_id % 4 = 0 THEN 'none' END], lambda x: x IS NOT NULL), ' | ') AS robots,
+  s.page_id % 3 = 0 OR s.page_id % 4 = 0 AS noindex, array_to_string(list_filter([CASE WHEN s.page_id % 5 < 2 THEN url END, CASE WHEN s.page_id % 5 = 1 THEN '/other' END], lambda x: x IS NOT NULL), ' | ') AS canonicals
+FROM signals s JOIN pages p ON p.page_id = s.page_id""",
+    "sitemap_extensions": """
+SELECT page_id, 'urlset' AS kind, 1::BIGINT AS news_count, 'daily' AS changefreq, '0.5' AS priority, page_id % 3 AS images, 'A & B' AS video_title, page_id::VARCHAR AS video_duration, 'Paper <' || page_id || '>' AS paper, 'en' AS paper_language,
+  'alternate' AS rel, 'de' AS hreflang, 'https://example.com/de/' || page_id AS href FROM pages""",
+    "sitemap_lists": """
+SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'not-sitemap' ELSE 'text' END AS kind, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS entries, CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS first FROM pages""",
+    "sitemap_gzip": """
+SELECT page_id, true AS gzip, page_id % 4 = 1 AS torn, CASE WHEN page_id % 4 = 2 THEN 'ISO-8859-1' ELSE '' END AS encoding, page_id % 4 = 3 AS broken, true AS whole, CASE WHEN page_id % 4 = 1 THEN -1 ELSE 1 END::BIGINT AS entries FROM pages""",
+    "run_totals": f"WITH {ANSWERS} SELECT site_id, CASE WHEN status = 0 THEN '000' ELSE status::VARCHAR END AS status_key, count(*) AS n, 'error' AS max_severity FROM answers WHERE crawled GROUP BY ALL",
+    "junit_lines": f"""
+WITH {FOUND},
+placed AS (SELECT f.*, row_number() OVER (PARTITION BY f.site_id, code ORDER BY page_id, f.url, stage) AS k FROM found f JOIN answers a ON a.site_id = f.site_id AND a.url = f.url)
+SELECT site_id, code, count(*) AS n, least(count(*), 200) AS shown, md5(string_agg(url || ': ' || message, chr(10) ORDER BY k) FILTER (k <= 200)) AS lines_md5 FROM placed GROUP BY site_id, code""",
+    "url_filters": f"""
+WITH {FOUND},
+a AS (SELECT a.site_id, a.url, crawled, status, max(rank) AS worst, bool_or(code = 'SLOW_RESPONSE') AS slow FROM answers a LEFT JOIN found f ON f.site_id = a.site_id AND f.url = a.url GROUP BY ALL)
+SELECT 'severity' AS filter, site_id, url FROM a WHERE worst = 3
+UNION ALL SELECT 'status', site_id, url FROM a WHERE crawled AND status = 503
+UNION ALL SELECT 'code', site_id, url FROM a WHERE slow
+UNION ALL SELECT 'words', site_id, url FROM a WHERE status = 301
+UNION ALL SELECT 'all', site_id, url FROM a WHERE worst >= 2 AND crawled AND status = 200 AND contains(lower(url), '/en/')""",
+    "robots_spellings": "SELECT page_id::VARCHAR AS site_id, '*' AS agent, 1.5::DOUBLE AS crawl_delay, '/p' || page_id AS raw, 'https://example.com/' || page_id AS sitemap FROM pages",
+    "config_values": """
+SELECT * FROM (VALUES ('duration', '1h30m', 5400.0::DOUBLE), ('duration', '1.5s', 1.5), ('duration', '90', 90.0), ('duration', '250ms', 0.25), ('duration', '', 0.0), ('duration', '-1s', NULL), ('duration', 'soon', NULL),
+  ('size', '5MB', 5000000.0), ('size', '512KiB', 524288.0), ('size', '10', 10.0), ('size', 'x', NULL)) AS v(kind, value, number)""",
+}

@@ -6,9 +6,11 @@ have answered is worked out from page_id. plans/oracles.py says the same in Duck
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ from crawlsight.operators import catalogue, collect, document_checks, entry_chec
 from crawlsight.plans import audit as plan
 from crawlsight.plans import tables
 from crawlsight.plans.audit import Audit
-from crawlsight.sources import html_page, robots_txt, sitemap_file
+from crawlsight.sources import config, html_page, robots_txt, sitemap_file
 from crawlsight.sources.config import Config
 from crawlsight.sources.schemas import SITES, bounded
+from crawlsight.sources.workers import by_name
 from crawlsight.storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -611,34 +614,47 @@ def catalogue_groups(spark, sf_dir):
 
 
 def captured_pages(spark, sf_dir) -> DataFrame:
-    """pages as a crawl would have captured them: a sitemap file for each fifty pages of a site, an index, the pages."""
-    p = table(spark, sf_dir, "pages").withColumn("site_id", F.concat(F.lit("www."), site_of(F.col("url"))))
-    n = F.col("page_id")
+    """pages as a crawl of their hosts would have captured them: a sitemap file for each fifty pages, an index, the pages.
+
+    Each index lists itself too, every tenth page is listed twice, every ninth date is none. By the length of a host's
+    name its home page fails, and its robots.txt names the index, none, or one that is gone besides.
+    """
+    p = table(spark, sf_dir, "pages").withColumn("site_id", urls.host_with_port(F.col("url")))
+    n, size = F.col("page_id"), F.length("site_id")
     base = F.concat(F.lit("https://"), "site_id")
-    item = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    x = p.select("site_id", (n / IN_FILE).cast("long").alias("file_no"), "page_id", item.alias("item"))
+    dated = F.when(n % 9 == 8, F.lit("<lastmod>2024-13-01</lastmod>")).otherwise("")
+    item = F.concat(F.lit("<url><loc>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), dated, F.lit("</url>"))
+    x = p.select("site_id", (n / IN_FILE).cast("long").alias("file_no"), "page_id", F.when(n % 10 == 0, F.concat(item, item)).otherwise(item).alias("item"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", c))), lambda i: i[c]), "")
     files = x.groupBy("site_id", "file_no").agg(F.concat(F.lit(f'<urlset xmlns="{sitemap_file.NAMESPACE}">'), joined("item"), F.lit("</urlset>")).alias("text"))
     address = F.concat(base, F.lit("/sitemap-"), F.col("file_no").cast("string"), F.lit(".xml"))
     files = files.select("site_id", address.alias("request_url"), "text", "file_no")
-    locs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "request_url"))), lambda i: F.concat(F.lit("<sitemap><loc>"), i["request_url"], F.lit("</loc></sitemap>"))), "")
-    index = files.groupBy("site_id").agg(F.concat(F.lit(f'<sitemapindex xmlns="{sitemap_file.NAMESPACE}">'), locs, F.lit("</sitemapindex>")).alias("text")).withColumn("request_url", F.concat(base, F.lit("/sitemap.xml")))
-    maps = files.select("site_id", "request_url", "text").unionByName(index.select("site_id", "request_url", "text"))
-    body = lambda c: F.col(c).cast("binary").alias("body")
-    kind = lambda v: F.lit(v).alias("content_type")
-    xml = maps.select("site_id", F.lit("sitemap").alias("phase"), "request_url", F.lit(200).alias("status"), kind("application/xml"), body("text"))
-    sites = p.select("site_id").distinct()
-    robots = sites.select("site_id", F.lit("robots").alias("phase"), F.concat(base, F.lit("/robots.txt")).alias("request_url"), F.lit(200).alias("status"), kind("text/plain"), F.concat(F.lit("User-agent: *\nDisallow: /de/\nSitemap: "), base, F.lit("/sitemap.xml\n")).cast("binary").alias("body"))
-    home = sites.select("site_id", F.lit("home").alias("phase"), F.concat(base, F.lit("/")).alias("request_url"), F.lit(200).alias("status"), kind("text/html"), F.lit(b"").alias("body"))
-    crawl = p.select("site_id", F.lit("crawl").alias("phase"), F.col("url").alias("request_url"), picked(n, 200, 200, 200, 404).cast("int").alias("status"), kind("text/html"), body("html"))
-    return catalogue.union([xml, robots, home, crawl]).withColumn("final_url", F.col("request_url")).withColumn("size", F.octet_length("body").cast("bigint"))
-
-
-def audited_pages(spark, sf_dir) -> plan.Audit:
+    named = lambda u: F.concat(F.lit("<sitemap><loc>"), u, F.lit("</loc></sitemap>"))
+    locs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "request_url"))), lambda i: named(i["request_url"])), "")
+    home = F.concat(base, F.lit("/sitemap.xml"))
+    index = files.groupBy("site_id").agg(locs.alias("locs"))
+    index = index.select("site_id", home.alias("request_url"), F.concat(F.lit(f'<sitemapindex xmlns="{sitemap_file.NAMESPACE}">'), "locs", named(home), F.lit("</sitemapindex>")).alias("text"))
+    maps = files.select("site_id", "request_url", "text").unionByName(index)
+    row = lambda of, phase, url, status, kind, body: of.select("site_id", F.lit(phase).alias("phase"), url.alias("request_url"), status.cast("int").alias("status"), F.lit(kind).alias("content_type"), body.cast("binary").alias("body"))
+    sites, good, none = p.select("site_id").distinct(), F.lit(200), F.lit("")
+    names = F.when(size % 3 == 1, F.lit("")).otherwise(F.concat(F.lit("Sitemap: "), home, F.when(size % 3 == 2, F.concat(F.lit("\nSitemap: "), base, F.lit("/gone.xml"))).otherwise("")))
+    moved, status = F.concat(base, F.lit("/moved")), picked(n, 200, 200, 301, 404, 0)
+    out = catalogue.union([
+        row(maps, "sitemap", F.col("request_url"), good, "application/xml", F.col("text")),
+        row(sites.where(size % 3 == 2), "sitemap", F.concat(base, F.lit("/gone.xml")), F.lit(404), "text/html", none),
+        row(sites, "robots", F.concat(base, F.lit("/robots.txt")), good, "text/plain", F.concat(F.lit("User-agent: *\nDisallow: /de/\n"), names)),
+        row(sites, "home", F.concat(base, F.lit("/")), F.when(size % 2 == 0, 200).otherwise(503), "text/html", none),
+        row(sites, "hop", moved, good, "text/html", none),
+        row(p, "crawl", F.col("url"), status, "text/html", F.col("html")),
+    ])
+    crawled = F.col("phase") == "crawl"
+    out = out.withColumn("location", F.when(crawled & (F.col("status") == 301), moved).otherwise("")).withColumn("error", F.when(crawled & (F.col("status") == 0), "timeout").otherwise(""))
+    return out.withColumn("final_url", F.col("request_url")).withColumn("size", F.octet_length("body").cast("bigint"))
+
+
+def audited_pages(spark, sf_dir) -> Audit:
     rows = captured_pages(spark, sf_dir)
     sites = rows.where("phase = 'home'").select("site_id", F.concat(F.lit("https://"), "site_id").alias("url"), F.lit(0).alias("ord"))
-    from datetime import UTC, datetime
-
     return plan.audit(rows, sites.select(*[c.split()[0] for c in SITES.split(", ")]), now=datetime(2024, 6, 1, 12, tzinfo=UTC))
 
 
@@ -650,5 +666,145 @@ def audit_issues(spark, sf_dir):
 
 @query
 def audit_urls(spark, sf_dir):
-    x = audited_pages(spark, sf_dir).urls
-    return x.select("site_id", "url", F.col("status").cast("long").alias("status"), "title", F.col("text_length").cast("long").alias("text_length"), F.size("found_in").cast("long").alias("files"), "max_severity")
+    """The report's URL table of the whole plan."""
+    return tables.url_table(audited_pages(spark, sf_dir)).select("site_id", "url", "status", "redirect_to", "final_status", "error", "occurrences", "found_in", "title", "text_length", "max_severity", "issues")
+
+
+@query
+def audit_sitemaps(spark, sf_dir):
+    """The sitemaps that the whole plan's walk visits."""
+    x = audited_pages(spark, sf_dir).sitemaps
+    number = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    return x.select("site_id", "url", "parent", "kind", "in_robots", *number("sm_order", "depth", "status", "entries", "unique_urls", "duplicates_inside"))
+
+
+@query
+def audit_sites(spark, sf_dir):
+    """The report's summary of each site of the whole plan."""
+    x = tables.site_table(audited_pages(spark, sf_dir))
+    return x.select("site_id", "home_status", "robots", "robots_http", "sitemap", "sitemap_source", "sitemap_files", "urls", "crawled", "2xx", "3xx", "4xx", "000", "duplicates", "errors", "warnings", "notices")
+
+
+# Readers and report parts over pages.
+
+
+@query
+def page_signals(spark, sf_dir):
+    """Robots and canonical elements put into each page's head, one in the body, and a title within an svg."""
+    n, u = F.col("page_id"), F.col("url")
+    head = F.concat(
+        F.when(n % 3 == 0, F.lit('<META NAME="Robots" content="noindex, follow">')).otherwise(""), F.when(n % 4 == 0, F.lit("<meta name=googlebot content='none'/>")).otherwise(""),
+        F.lit('<meta name="otherbot" content="noindex"><svg><title>x</title></svg>'),
+        F.when(n % 5 < 2, F.concat(F.lit('<link href="'), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit('" rel="nofollow Canonical">'))).otherwise(""), F.when(n % 5 == 1, F.lit('<link rel=canonical href=" /other ">')).otherwise(""),
+    )
+    body = F.replace(F.replace(F.col("html"), F.lit("<head>"), F.concat(F.lit("<head>"), head)), F.lit("<body>"), F.lit('<body><link rel="canonical" href="/late"><noscript>not seen</noscript>'))
+    x = html_page.pages(table(spark, sf_dir, "pages").select("page_id", "url", body.cast("binary").alias("body")), "Googlebot")
+    links = page_checks.distinct_canonicals(F.col("page.canonicals"))
+    return x.select("page_id", "page.title", F.col("page.text_length").cast("long").alias("text_length"), F.array_join("page.meta_robots", " | ").alias("robots"), texts.noindex(F.col("page.meta_robots"), "Googlebot").alias("noindex"), F.array_join(links, " | ").alias("canonicals"))
+
+
+@query
+def sitemap_extensions(spark, sf_dir):
+    """Images, videos, news and alternates of entries, read from XML."""
+    spaces = "".join(f' xmlns:{k}="{v}"' for k, v in (("image", "http://www.google.com/schemas/sitemap-image/1.1"), ("video", "http://www.google.com/schemas/sitemap-video/1.1"), ("news", "http://www.google.com/schemas/sitemap-news/0.9"), ("xhtml", "http://www.w3.org/1999/xhtml")))
+    id_ = F.col("page_id").cast("string")
+    xml = F.concat(
+        F.lit(f'<urlset xmlns="{sitemap_file.NAMESPACE}"{spaces}><url><loc>https://example.com/'), id_, F.lit("</loc><changefreq>daily</changefreq><priority>0.5</priority>"),
+        F.repeat(F.concat(F.lit("<image:image><image:loc>https://example.com/i"), id_, F.lit(".png</image:loc></image:image>")), (F.col("page_id") % 3).cast("int")),
+        F.lit("<video:video><video:title>A &amp; B</video:title><video:duration>"), id_, F.lit("</video:duration></video:video>"),
+        F.lit("<news:news><news:publication><news:name><![CDATA[Paper <"), id_, F.lit(">]]></news:name><news:language>en</news:language></news:publication><news:title>T</news:title></news:news>"),
+        F.lit('<xhtml:link rel="alternate" hreflang="de" href="https://example.com/de/'), id_, F.lit('"/></url></urlset>'),
+    )
+    x = sitemap_file.documents(table(spark, sf_dir, "pages").select("page_id", xml.cast("binary").alias("body")))
+    e = F.get("doc.entries", F.lit(0))
+    x = x.withColumn("e", e).withColumn("news", F.get("e.news", F.lit(0))).withColumn("a", F.get("e.alternates", F.lit(0))).withColumn("video", F.get("e.videos", F.lit(0)))
+    return x.select(
+        "page_id", "doc.kind", F.col("doc.news_count").cast("long").alias("news_count"), "e.changefreq", "e.priority", F.size("e.images").cast("long").alias("images"),
+        F.element_at("video", "title").alias("video_title"), F.element_at("video", "duration").alias("video_duration"), F.col("news.name").alias("paper"), F.col("news.language").alias("paper_language"), "a.rel", "a.hreflang", "a.href",
+    )
+
+
+@query
+def sitemap_lists(spark, sf_dir):
+    """Plain lists of one page each, with a byte order mark, blank lines, or a line that is no URL."""
+    n, u = F.col("page_id"), F.col("url")
+    text = F.concat(F.when(n % 2 == 0, F.lit("\ufeff")).otherwise(""), F.lit("\r\n"), F.when(n % 3 == 0, F.concat(F.lit("  "), u, F.lit(" "))).otherwise(u), F.lit("\r\n\r\nHTTPS://example.com/x"), F.when(n % 5 == 0, F.lit("\nwords")).otherwise(""))
+    x = sitemap_file.documents(table(spark, sf_dir, "pages").select("page_id", text.cast("binary").alias("body")))
+    return x.select("page_id", "doc.kind", F.size("doc.entries").cast("long").alias("entries"), F.coalesce(F.get("doc.entries", F.lit(0))["loc"], F.lit("")).alias("first"))
+
+
+def packed(bodies: pd.Series) -> pd.Series:
+    return bodies.map(lambda b: gzip.compress(b, mtime=0))
+
+
+@query
+def sitemap_gzip(spark, sf_dir):
+    """Sitemaps of one page each, compressed; some are cut off before any text, some lack their end or name another encoding."""
+    n = F.col("page_id")
+    head = F.when(n % 4 == 2, F.lit('<?xml version="1.0" encoding="ISO-8859-1"?>')).otherwise("")
+    xml = F.concat(head, F.lit(f'<urlset xmlns="{sitemap_file.NAMESPACE}"><url><loc>https://example.com/'), n.cast("string"), F.lit("</loc></url>"), F.when(n % 4 == 3, F.lit("<url>")).otherwise("</urlset>"))
+    body = by_name(packed)
+    pack = lambda b: body(b)
+    pack.__annotations__ = {"b": pd.Series, "return": pd.Series}
+    x = table(spark, sf_dir, "pages").select("page_id", xml.cast("binary").alias("plain"))
+    x = x.withColumn("body", F.pandas_udf(pack, "binary")("plain"))
+    x = x.withColumn("body", F.when(n % 4 == 1, F.substring("body", 1, 12)).otherwise(F.col("body")).cast("binary"))
+    x = sitemap_file.documents(x.select("page_id", F.octet_length("plain").cast("long").alias("plain"), "body"))
+    d = lambda c: F.col(f"doc.{c}")
+    return x.select("page_id", d("gzip").alias("gzip"), (d("gzip_error") != "").alias("torn"), d("encoding").alias("encoding"), (d("xml_error") != "").alias("broken"), F.when(n % 4 == 1, True).otherwise(d("uncompressed") == F.col("plain")).alias("whole"), F.when(n % 4 == 1, -1).otherwise(F.size(d("entries"))).cast("long").alias("entries"))
+
+
+@query
+def run_totals(spark, sf_dir):
+    """Counts of answers by status and the worst severity of the run."""
+    worst = stats.max_severity(answer_issues(spark, sf_dir))
+    return stats.status_counts(answers(spark, sf_dir)).crossJoin(F.broadcast(worst)).select("site_id", "status_key", "n", "max_severity")
+
+
+def _run(spark, sf_dir) -> Audit:
+    """answers() and their issues as a run, for the report's tables."""
+    found = answers(spark, sf_dir).select("site_id", "url", "crawled", "status", F.lit("").alias("title"), F.lit("").alias("h1"), "redirect_to", F.lit("").alias("error"), F.col("page_id").alias("first_order"))
+    sites = references(spark, sf_dir).select("site_id", F.lit(0).alias("ord"))
+    return Audit(sites, sites, found, answer_issues(spark, sf_dir), sites, catalogue.catalogue(spark), Config(), datetime(2026, 1, 1, tzinfo=UTC))
+
+
+@query
+def junit_lines(spark, sf_dir):
+    """The lines of each failing case: the first two hundred by the URLs' places."""
+    x = tables.junit_cases(_run(spark, sf_dir)).where("n > 0")
+    return x.select("site_id", "code", "n", F.size("lines").cast("long").alias("shown"), F.md5(F.array_join("lines", "\n")).alias("lines_md5"))
+
+
+@query
+def url_filters(spark, sf_dir):
+    """URLs that each of the report's filters leaves."""
+    run = _run(spark, sf_dir)
+    chosen = {"severity": {"severity": "error"}, "status": {"status_in": "5xx"}, "code": {"code": "SLOW_RESPONSE"}, "words": {"words": "MOVED"}, "all": {"severity": "warning", "status_in": "2xx", "words": "/en/"}}
+    return catalogue.union([tables.filter_urls(run, **by).select(F.lit(name).alias("filter"), "site_id", "url") for name, by in chosen.items()])
+
+
+@query
+def robots_spellings(spark, sf_dir):
+    """A robots.txt for each page with other spellings of the keys."""
+    n, nl = F.col("page_id"), F.lit("\r\n")
+    text = F.concat(picked(n, "User Agent", "useragent", "USER-AGENT"), F.lit(" : * # all"), nl, picked(n, "Dissallow", "disalow", "diasllow", "disallaw", "Dissalow"), F.lit(": /p"), n.cast("string"), nl, picked(n, "Crawl Delay", "crawldelay"), F.lit(": 1.5"), nl, picked(n, "Site-map", "SITEMAP"), F.lit(":https://example.com/"), n.cast("string"))
+    files = table(spark, sf_dir, "pages").select(n.cast("string").alias("site_id"), text.cast("binary").alias("body"))
+    rows = robots_txt.numbered(robots_txt.lines(files))
+    rules = robots_txt.agent_rules(rows, "anybot").select("site_id", "agent", "crawl_delay", F.get("rules", F.lit(0))["raw"].alias("raw"))
+    return rules.join(robots_txt.sitemaps(rows).select("site_id", F.col("url").alias("sitemap")), "site_id")
+
+
+CONFIG_VALUES = (("duration", "1h30m"), ("duration", "1.5s"), ("duration", "90"), ("duration", "250ms"), ("duration", ""), ("duration", "-1s"), ("duration", "soon"), ("size", "5MB"), ("size", "512KiB"), ("size", "10"), ("size", "x"))
+
+
+@query
+def config_values(spark, sf_dir):
+    """Durations and sizes of a configuration as numbers; null for what is none."""
+
+    def read(kind: str, value: str) -> float | None:
+        try:
+            return float(config.duration(value) if kind == "duration" else config.size(value))
+        except config.ConfigError:
+            return None
+
+    return spark.createDataFrame([(k, v, read(k, v)) for k, v in CONFIG_VALUES], "kind string, value string, number double")

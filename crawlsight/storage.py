@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: The folder of the run that is open, if any.
@@ -40,6 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Plans that are worked out at a time: their stages are small, so that one alone leaves most cores idle.
+AT_ONCE = 6
+
+
+def side_by_side(spark: SparkSession, *makes: Callable) -> list:
+    """What each of makes gives, in their order; they plan and run at the same time. The first error is raised."""
+    with ThreadPoolExecutor(AT_ONCE, "crawlsight") as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(make)) for make in makes]
+        return [each.result() for each in started]
+
+
 @contextmanager
 def work_folder(spark: SparkSession, base: str | None = None) -> Iterator[str]:
     """What is written while it is open lies in one folder below base (or the shared one), and goes when it is closed."""
