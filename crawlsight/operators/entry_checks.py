@@ -131,10 +131,9 @@ def alternate_issues(read: Column, loc: Column, has_self: Column) -> Column:
     return found(F.flatten(F.transform(read, of)), one_of(issue("HREFLANG_NO_SELF", no_self, "the alternates do not include ", loc)))
 
 
-def check_entries(entries: DataFrame, now: Column, allowed_hosts: list[str] = (), news_max_age_s: float = 0.0) -> DataFrame:
-    """entries (ENTRY, base, in_robots and others) with their issues, in order, and whether loc is absolute (whole)."""
+def entry_columns(now: Column, allowed_hosts: list[str] = (), news_max_age_s: float = 0.0) -> dict[str, Column]:
+    """Columns of ENTRY rows with base and in_robots, to be added in this order: whole, read, issues."""
     loc = F.col("loc")
-    x = entries.withColumn("whole", F.col("has_loc") & urls.absolute(loc)).withColumn("read", read_alternates(F.col("alternates")))
     plain = one_of(
         *lastmod_issues(F.col("lastmod"), now, "LASTMOD_INVALID", "LASTMOD_FUTURE"),
         issue("CHANGEFREQ_INVALID", (F.col("changefreq") != "") & ~F.col("changefreq").isin(*CHANGEFREQS), "<changefreq> ", quoted(F.col("changefreq"))),
@@ -148,7 +147,14 @@ def check_entries(entries: DataFrame, now: Column, allowed_hosts: list[str] = ()
         news_issues(F.col("news"), now, news_max_age_s),
         alternate_issues(F.col("read"), loc, F.col("whole")),
     )
-    return x.withColumn("issues", issues)
+    return {"whole": F.col("has_loc") & urls.absolute(loc), "read": read_alternates(F.col("alternates")), "issues": issues}
+
+
+def check_entries(entries: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """entries (ENTRY, base, in_robots and others) with entry_columns(): their issues, in order, and whether loc is absolute (whole)."""
+    for name, column in columns.items():
+        entries = entries.withColumn(name, column)
+    return entries
 
 
 def check_index_entries(entries: DataFrame, now: Column, allowed_hosts: list[str] = ()) -> DataFrame:

@@ -17,7 +17,7 @@ from crawlsight.operators.collect import seq, url_issues
 from crawlsight.sources import html_page, robots_txt, sitemap_file
 from crawlsight.sources.config import Config
 from crawlsight.sources.schemas import captured
-from crawlsight.storage import side_by_side, written
+from crawlsight.storage import ahead, side_by_side, written
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -102,12 +102,12 @@ def visit_issues(visits: DataFrame, max_depth: int) -> DataFrame:
     return sitemap_issues(visits, 0, all_)
 
 
-def listed_entries(visits: DataFrame, config: Config, now: Column) -> DataFrame:
-    """Entries of the lists that were read, with place, base and issues."""
+def listed_entries(visits: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Entries of the lists that were read, with place, base and issues; columns: entry_checks.entry_columns()."""
     own = visits.where((F.col("visit") == tree.READ) & F.col("doc.kind").isin("urlset", "text"))
     rows = own.select("site_id", "sm_order", F.col("url").alias("sm_url"), _base().alias("base"), "in_robots", F.posexplode("doc.entries").alias("entry_pos", "e"))
     rows = rows.select("site_id", "sm_order", "sm_url", "base", "in_robots", "entry_pos", "e.*")
-    checked = entry_checks.check_entries(rows, now, config.sitemap.allowed_hosts, config.thresholds.news_max_age)
+    checked = entry_checks.check_entries(rows, columns)
     return checked.select("site_id", "sm_order", "sm_url", "entry_pos", "loc", "lastmod", "read", "whole", "issues")
 
 
@@ -200,6 +200,7 @@ def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None,
     policy: Policy = config.policy()
     moment = F.lit(started.astimezone(UTC).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp")
     responses = captured(responses)
+    checks = ahead(spark, lambda: entry_checks.entry_columns(moment, config.sitemap.allowed_hosts, config.thresholds.news_max_age))
     documents = keep(parsed(responses, config.http.max_body_size), "documents")
 
     homes = discovery.home_pages(sites, responses)
@@ -210,7 +211,7 @@ def audit(responses: DataFrame, sites: DataFrame, config: Config | None = None,
     roots, sources, located = discovery.discovered(sites, files, named, discovery.probes(documents), config.sitemap.fallbacks)
     visits = keep(walked(roots, documents, config.sitemap.max_depth), "visits")
 
-    entries = keep(listed_entries(visits, config, moment), "entries")
+    entries = keep(listed_entries(visits, checks()), "entries")
     configured = sites if all_sites is None else all_sites.unionByName(sites).dropDuplicates(["site_id"])
     placed = collect.in_sections(entries.where("whole"), configured)
     kept = keep(placed.where("section IS NULL"), "kept")

@@ -53,6 +53,14 @@ def side_by_side(spark: SparkSession, *makes: Callable) -> list:
         return [each.result() for each in started]
 
 
+def ahead(spark: SparkSession, make: Callable) -> Callable:
+    """Begins make, and gives a function that waits for what it gives."""
+    pool = ThreadPoolExecutor(1, "crawlsight")
+    begun = pool.submit(inheritable_thread_target(spark)(make))
+    pool.shutdown(wait=False)
+    return begun.result
+
+
 @contextmanager
 def work_folder(spark: SparkSession, base: str | None = None) -> Iterator[str]:
     """What is written while it is open lies in one folder below base (or the shared one), and goes when it is closed."""

@@ -27,7 +27,7 @@ def entry(loc=None, raw=None, **more):
 def found(spark, entries, base=SHIPS + "list.xml", in_robots=False):
     rows = [(i, *e.values()) for i, e in enumerate(entries)]
     df = spark.createDataFrame(rows, f"n int, {sitemap_file.ENTRY}").withColumn("base", F.lit(base)).withColumn("in_robots", F.lit(in_robots))
-    got = entry_checks.check_entries(df, now(), ["pictures.harbour.test"], 36 * 3600).orderBy("n").select("issues").collect()
+    got = entry_checks.check_entries(df, entry_checks.entry_columns(now(), ["pictures.harbour.test"], 36 * 3600)).orderBy("n").select("issues").collect()
     return [[(i.code, i.message) for i in r.issues] for r in got]
 
 
