@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: ISO 639-1 languages that an hreflang may name. Fixed values of the check.
@@ -21,7 +22,7 @@ ug uk ur uz ve vi vo wa wo xh yi yo za zh zu
 @cache
 def regions() -> tuple[str, ...]:
     """ISO 3166-1 regions as the JVM knows them, and Kosovo's XK."""
-    jvm = SparkSession.getActiveSession()._jvm
+    jvm = SparkContext.getOrCreate()._jvm  # threads have no active session of their own
     return tuple(sorted({*jvm.java.util.Locale.getISOCountries(), "XK"}))
 
 
