@@ -17,12 +17,13 @@ SITES = ("site_id", "url", "time_s", "home_status", "home_redirect", "robots", "
 ISSUES = ("site_id", "scope", "target", "severity", "code", "title", "message", "sitemap")
 
 
-def texts_of(issues: DataFrame, scope: str, *by: str) -> DataFrame:
-    """(by..., issues, details): distinct codes in the order of their first issue, and all messages; of one scope."""
+def texts_of(issues: DataFrame, scope: str, *by: str, once: bool = True) -> DataFrame:
+    """(by..., issues, details): codes in the order of their issues, each once or as often as it comes, and all messages; of one scope."""
     own = issues.where(F.col("scope") == scope)
     held = F.array_sort(F.collect_list(F.struct("seq", "code", "message")))
     listed = own.groupBy(*by).agg(held.alias("held"))
-    codes = F.array_join(F.array_distinct(F.transform("held", lambda i: i["code"])), "; ")
+    codes = F.transform("held", lambda i: i["code"])
+    codes = F.array_join(F.array_distinct(codes) if once else codes, "; ")
     details = F.array_join(F.transform("held", lambda i: F.concat(i["code"], F.lit(": "), i["message"])), "; ")
     return listed.select(*by, codes.alias("issues"), details.alias("details"))
 
