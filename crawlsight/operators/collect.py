@@ -70,13 +70,17 @@ def file_counts(kept: DataFrame) -> DataFrame:
     return found.select("site_id", "sm_order", "unique_urls", (F.col("entries") - F.col("unique_urls")).alias("duplicates_inside"))
 
 
-def collect_urls(kept: DataFrame) -> DataFrame:
-    """A row for each URL of a site, as written: occurrences, found_in (by first sight), lastmod (the first), first_order, seen."""
+def collect_urls(kept: DataFrame, once: bool = True) -> DataFrame:
+    """A row for each URL of a site, as written: occurrences, found_in (by first sight), lastmod (the first), first_order, seen.
+
+    found_in names a file once, or else as often as it holds the URL.
+    """
     by_file = kept.groupBy("site_id", "loc", "sm_url").agg(
         F.count("*").alias("n"), F.min(place()).alias("first"), F.min(F.when(F.col("lastmod") != "", F.struct(*PLACE, "lastmod"))).alias("dated")
     )
     # Files that hold one URL are few, so their list is short.
-    files = F.transform(F.array_sort(F.collect_list(F.struct("first", "sm_url"))), lambda f: f["sm_url"])
+    files = F.array_sort(F.collect_list(F.struct("first", "sm_url", "n")))
+    files = F.transform(files, lambda f: f["sm_url"]) if once else F.flatten(F.transform(files, lambda f: F.array_repeat(f["sm_url"], f["n"].cast("int"))))
     found = by_file.groupBy("site_id", F.col("loc").alias("url")).agg(
         F.sum("n").alias("occurrences"), files.alias("found_in"), F.coalesce(F.min("dated")["lastmod"], F.lit("")).alias("lastmod"), F.min("first").alias("seen")
     )
